@@ -118,4 +118,5 @@ class Vocabulary:
 
     def ids(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pre-tokens that start at `places`, and the first id of each and the total."""
-        return gather(*self.columns[0], self.entries(data, places))
+        entry = self.entries(data, places)
+        return gather(*self.columns[0], entry)
