@@ -210,10 +210,22 @@ class Answers:
 
 
 def beside(step: Callable, kind, kind2=None) -> Callable:
-    """Blocks of answers (kind 0), then of texts (kind 1) -> step(answers, ids, data, offsets) for each slice of texts."""
+    """Blocks of answers (kind 0), then of texts (kind 1) -> step(answers, ids, data, offsets) for each slice of texts of about FLUSH bytes."""
 
     def run(batches):
-        answers, closed = Answers(), False
+        answers, closed, held, size = Answers(), False, [], 0
+
+        def hand():
+            doc = np.concatenate([h[0] for h in held])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([h[1] for h in held]))])
+            raw = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
+            held.clear()
+            first = 0
+            while first < len(doc):
+                end = max(first + 1, int(np.searchsorted(ends, ends[first] + FLUSH, side="right")) - 1)
+                yield from step(answers, doc[first:end], raw[ends[first] : ends[end]], ends[first : end + 1] - ends[first])
+                first = end
+
         for b in batches:
             for _, which, x, y, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if which == 0:
@@ -222,14 +234,14 @@ def beside(step: Callable, kind, kind2=None) -> Callable:
                 if not closed:
                     answers.close(kind)
                     closed = True
-                doc, length = expand(x, np.int64), expand(y, np.int64)
-                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(z) if length.sum() else b"", np.uint8)
-                ends = np.concatenate([[0], np.cumsum(length)])
-                first = 0
-                while first < len(doc):
-                    end = max(first + 1, int(np.searchsorted(ends, ends[first] + FLUSH, side="right")) - 1)
-                    yield from step(answers, doc[first:end], raw[ends[first] : ends[end]], ends[first : end + 1] - ends[first])
-                    first = end
+                length = expand(y, np.int64)
+                held.append((expand(x, np.int64), length, zstandard.ZstdDecompressor().decompress(z) if length.sum() else b""))
+                size += len(held[-1][2])
+                if size >= FLUSH:
+                    yield from hand()
+                    size = 0
+        if held:
+            yield from hand()
 
     return run
 
