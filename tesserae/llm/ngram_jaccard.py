@@ -8,9 +8,13 @@ document that links lead to.
 2. A sketch of fixed size (2**18 counters) counts all n-grams of all documents. It only orders the
    n-grams, rare ones first; any order gives the same result.
 3. Two sets that reach the threshold share an n-gram among the first n - ceil(t * n) + 1 of each in
-   that order. These prefixes, packed in binary blocks per hash bucket, are the only postings that
-   are shuffled; classes that meet in a posting list of compatible sizes form candidate clusters.
-4. Within a cluster, each set is a query against inverted lists of the smaller sets. DivideSkip:
+   that order. These prefixes, packed in binary blocks per hash bucket, are the postings; classes that
+   meet in a posting list of compatible sizes are the members, the only ones whose sets are kept.
+4. The members' n-grams are counted exactly. A member whose n-grams are shared for less than the
+   threshold is linked with nothing. The others' prefixes, now in the order of exact counts, give
+   posting lists again, in which passages that many unlike documents share no longer appear; classes
+   that these lists connect are candidate clusters.
+5. Within a cluster, each set is a query against inverted lists of the smaller sets. DivideSkip:
    the shortest lists are merged (with a heap when they are short), the longest are only probed by
    binary search for the candidates which can still reach T occurrences. Candidates that links
    already join to the query need no search. Clusters beyond `block_grams` n-grams are split in
@@ -30,10 +34,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, local_roots, partitions, saved, small_batches
+from .repeats import BLOCK, FLUSH, batch, beside, bucket_of, cut, deltas, expand, home, reply, squeeze, texts, together, undo
 from .textkit import Spans, mix, slices, word_hashes
 
 SKETCH_BITS = 18
@@ -104,17 +110,19 @@ def _summary(width: int):
     return run
 
 
-def _postings(width: int, num: int, den: int, levels, buckets: int):
-    def flush(held):
-        key, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = (mix(key) % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        key, cls, n = key[order], cls[order], n[order]
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        full = [i for i in range(buckets) if bounds[i] < bounds[i + 1]]
-        cut = lambda x: pa.array([x[bounds[i] : bounds[i + 1]].tobytes() for i in full], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(key), cut(cls), cut(n)], ["bucket", "keys", "classes", "sizes"])
+def pack_postings(held: list[tuple], buckets: int) -> pa.RecordBatch:
+    """(n-gram, class, size of the set) as binary blocks by bucket."""
+    key, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    bucket = (mix(key) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    key, cls, n = key[order], cls[order], n[order]
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    full = [i for i in range(buckets) if bounds[i] < bounds[i + 1]]
+    blocks = [pa.array([x[bounds[i] : bounds[i + 1]].tobytes() for i in full], pa.binary()) for x in (key, cls, n)]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *blocks], ["bucket", "keys", "classes", "sizes"])
 
+
+def _postings(width: int, num: int, den: int, levels, buckets: int):
     def run(batches):
         level, held, size = levels.value, [], 0
         for batch in batches:
@@ -129,16 +137,16 @@ def _postings(width: int, num: int, den: int, levels, buckets: int):
                 held.append((key[keep], np.repeat(digests(grams, bounds), sizes)[keep], np.repeat(sizes, sizes)[keep].astype(np.uint32)))
                 size += len(held[-1][0])
                 if size > 1 << 20:
-                    yield flush(held)
+                    yield pack_postings(held, buckets)
                     held, size = [], 0
         if size:
-            yield flush(held)
+            yield pack_postings(held, buckets)
 
     return run
 
 
-def _edges(num: int, den: int):
-    """Classes that share a posting list and lie in one run of compatible sizes, each with the smallest of its local component."""
+def _lists(num: int, den: int, members: bool):
+    """Runs of compatible sizes in the posting lists: their classes, or these with the smallest of their local component."""
 
     def run(batches):
         held = [(np.frombuffer(k.as_buffer(), U), np.frombuffer(c.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.uint32)) for b in batches for k, c, n in zip(b.column(1), b.column(2), b.column(3), strict=True)]
@@ -157,6 +165,9 @@ def _edges(num: int, den: int):
         start = np.flatnonzero(np.concatenate([[True], ~joined]))
         head = np.repeat(cls[start], np.diff(np.concatenate([start, [len(cls)]])))
         other = head != cls
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array(np.union1d(head[other], cls[other]))], ["class"])
+            return
         nodes, roots = local_roots(head[other], cls[other])
         apart = nodes != roots
         yield pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(roots[apart])], ["u", "v"])
@@ -164,6 +175,138 @@ def _edges(num: int, den: int):
     return run
 
 
+def _member_blocks(parts: int):
+    """(doc_id, class) -> answers for the documents' homes."""
+
+    def run(batches):
+        for b in batches:
+            yield from reply(np.asarray(b.column(0)), np.asarray(b.column(1)).view(U), parts)
+
+    return run
+
+
+def _member_sets(width: int, parts: int):
+    """Texts that answers name -> blocks of their sets by the class's home: x classes, y bytes, z n-grams."""
+
+    def step(answers, doc, data, offsets):
+        low, high = answers.bounds(doc)
+        grams, bounds = gram_sets(data, offsets, width)
+        cls = digests(grams, bounds)
+        own = [i for i in np.flatnonzero(low < high).tolist() if cls[i] in answers.value[low[i] : high[i]].view(np.int64)]
+        if own:
+            part = home(cls[own], parts)
+            rows = []
+            for p, at in cut(part, np.argsort(part, kind="stable"), parts):
+                pick = [own[k] for k in at.tolist()]
+                bodies = [grams[bounds[i] : bounds[i + 1]].tobytes() for i in pick]
+                rows.append((p, 1, squeeze(cls[pick]), squeeze(np.array([len(x) for x in bodies])), zstandard.ZstdCompressor(level=1).compress(b"".join(bodies))))
+            yield batch(rows)
+
+    return step
+
+
+def _set_blocks(x, y, z):
+    return expand(x, np.int64), expand(y, np.int64) // 8, np.frombuffer(zstandard.ZstdDecompressor().decompress(z), U)
+
+
+def _gram_marks(parts: int):
+    """Sets -> 32-bit marks of their n-grams by bucket, with the class."""
+
+    def flush(held):
+        cls, size, grams = (np.concatenate(x) for x in zip(*held, strict=True))
+        who, part = np.repeat(cls, size), bucket_of(grams, parts)
+        order = np.lexsort((who, part))
+        mark = (grams >> U(32)).astype(np.uint32)
+        return batch([(p, 0, deltas(who[at]), b"", mark[at].tobytes()) for p, at in cut(part, order, parts)])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for x, y, z in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                held.append(_set_blocks(x, y, z))
+                size += len(held[-1][2])
+                if size > FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _counts(parts: int):
+    """How many classes have each mark: sent back to the classes where there are two or more, 255 for that many or more."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for p, x, z in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
+                held.setdefault(p, []).append((undo(x), np.frombuffer(z, np.uint32)))
+        for p in sorted(held):
+            cls, mark = (np.concatenate(x) for x in zip(*held.pop(p), strict=True))
+            order = np.lexsort((cls, mark))
+            cls, mark = cls[order], mark[order]
+            new = np.ones(len(mark), bool)
+            new[1:] = (mark[1:] != mark[:-1]) | (cls[1:] != cls[:-1])
+            cls, mark = cls[new], mark[new]
+            start = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
+            size = np.diff(np.concatenate([start, [len(mark)]]))
+            df = np.repeat(np.minimum(size, 255), size).astype(np.uint8)
+            keep = df > 1
+            yield from reply(cls[keep], mark[keep].astype(U) | U(p) << U(32), parts, df[keep])
+
+    return run
+
+
+def _shared_prefixes(num: int, den: int, parts: int, buckets: int):
+    """Sets beside the counts of their n-grams -> postings of the prefixes, rarest n-grams first."""
+    inner_held: list[tuple] = []
+
+    def step(answers, cls, data, offsets):
+        grams, bounds = np.frombuffer(data.tobytes(), U), offsets // 8
+        sizes = np.diff(bounds)
+        low, high = answers.bounds(cls)
+        wanted = (grams >> U(32)) | bucket_of(grams, parts).astype(U) << U(32)
+        for i in np.flatnonzero((high - low) * den >= sizes * num).tolist():
+            own, want = grams[bounds[i] : bounds[i + 1]], wanted[bounds[i] : bounds[i + 1]]
+            keys, df = answers.value[low[i] : high[i]], answers.second[low[i] : high[i]]
+            at = np.searchsorted(keys, want)
+            at[at == len(keys)] = 0
+            count = np.where(keys[at] == want, df[at], 1)
+            n, alone = len(own), int((count < 2).sum())
+            prefix = n - -(-n * num // den) + 1
+            if alone >= prefix:
+                continue  # too few n-grams that any other set has
+            order = np.lexsort((own, count))[alone:prefix]
+            inner_held.append((own[order], np.full(len(order), cls[i]), np.full(len(order), n, np.uint32)))
+        if sum(len(x[0]) for x in inner_held) > FLUSH:
+            yield from drain()
+
+    def drain():
+        yield pack_postings(inner_held, buckets)
+        inner_held.clear()
+
+    inner = beside(step, U, np.uint8)
+
+    def run(batches):
+        inner_held.clear()
+        yield from inner(batches)
+        if inner_held:
+            yield from drain()
+
+    return run
+
+
+def _cluster_blocks(parts: int):
+    """(class, cluster, parts) -> answers for the classes' homes."""
+
+    def run(batches):
+        for b in batches:
+            yield from reply(np.asarray(b.column(0)), np.asarray(b.column(1)).view(U), parts, np.asarray(b.column(2)).astype(np.int32))
+
+    return run
+
+
 def _heap_merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Members of sorted lists with their occurrences, through a heap of the lists' heads."""
     found = [(k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*(x.tolist() for x in lists)))]
@@ -238,27 +381,22 @@ def linked_sets(sets: list[np.ndarray], num: int, den: int, sides: np.ndarray |
     return out
 
 
-def _sets(width: int):
-    def run(batches):
-        for batch in batches:
-            names = batch.schema.names
-            cls, cluster, parts = (batch.column(names.index(x)) for x in ("class", "cluster", "parts"))
-            for a, b, grams, bounds in _texts(batch.column(names.index("text")), width):
-                own = digests(grams, bounds)
-                rows = []
-                for i in range(b - a):
-                    m, c = parts[a + i].as_py(), cls[a + i].as_py()
-                    if c != own[i]:
-                        continue  # another text under the same doc_id
-                    block = int(mix(np.array([c], np.int64).view(U))[0] % U(m))
-                    body = grams[bounds[i] : bounds[i + 1]].tobytes()
-                    rows += [(cluster[a + i].as_py(), min(block, k), max(block, k), block, c, body) for k in range(m)]
-                if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                    for k in range(0, len(rows), 2000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 2000], strict=True), kinds, strict=True)], ["cluster", "one", "two", "block", "class", "grams"])
+def _tasks():
+    """Sets beside their clusters -> one row for each block pair that a set takes part in."""
 
-    return run
+    def step(answers, cls, data, offsets):
+        low, high = answers.bounds(cls)
+        rows, raw = [], data.tobytes()
+        blocks = mix(cls.view(U))
+        for i in np.flatnonzero(low < high).tolist():
+            cluster, m = int(answers.value[low[i] : high[i]].view(np.int64)[0]), int(answers.second[low[i]])
+            block, body = int(blocks[i] % U(m)), raw[offsets[i] : offsets[i + 1]]
+            rows += [(cluster, min(block, k), max(block, k), block, int(cls[i]), body) for k in range(m)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        for k in range(0, len(rows), 2000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 2000], strict=True), kinds, strict=True)], ["cluster", "one", "two", "block", "class", "grams"])
+
+    return step
 
 
 def _search(num: int, den: int):
@@ -290,16 +428,21 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     p = partitions(spark)
     levels = spark.sparkContext.broadcast(rarity(docs, width))  # 256 KB at any size
     stats = saved(docs.mapInArrow(_summary(width), "doc_id long, n long, class long"))
-    postings = docs.select("text").mapInArrow(_postings(width, num, den, levels, 4 * p), "bucket int, keys binary, classes binary, sizes binary")
-    edges = postings.repartition(p, "bucket").mapInArrow(_edges(num, den), "u long, v long")
-    clusters = connected(edges)
+    lists = "bucket int, keys binary, classes binary, sizes binary"
+    postings = docs.select("text").mapInArrow(_postings(width, num, den, levels, p), lists)
+    met = postings.repartitionById(p, "bucket").mapInArrow(_lists(num, den, True), "class long").distinct()
     classes = stats.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    members = clusters.withColumnRenamed("node", "class").join(classes, "class").where("rep is not null")
+    members = classes.join(met, "class").where("rep is not null").select("rep", "class").mapInArrow(_member_blocks(p), BLOCK)
+    sets = together(members, docs.mapInArrow(texts(p), BLOCK), p).mapInArrow(beside(_member_sets(width, p), U), BLOCK)
+    sets = saved(sets)
+    counts = sets.mapInArrow(_gram_marks(p), BLOCK).repartitionById(p, "part").mapInArrow(_counts(p), BLOCK)
+    shared = together(counts, sets, p).mapInArrow(_shared_prefixes(num, den, p, p), lists)
+    clusters = connected(shared.repartitionById(p, "bucket").mapInArrow(_lists(num, den, False), "u long, v long"))
+    members = clusters.withColumnRenamed("node", "class").join(classes, "class")
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block_grams)).cast("int").alias("parts"))
-    members = saved(members.join(parts, "root").select("class", F.col("root").alias("cluster"), "parts", F.col("rep").alias("doc_id")))
-    texts = docs.join(members.hint("shuffle_hash"), "doc_id").select("class", "cluster", "parts", "text")
-    sets = texts.mapInArrow(_sets(width), "cluster long, one int, two int, block int, class long, grams binary")
-    links = saved(sets.repartition(p, "cluster", "one", "two").mapInArrow(_search(num, den), "u long, v long"))
+    members = saved(members.join(parts, "root").select("class", F.col("root").alias("cluster"), "parts"))
+    tasks = together(members.mapInArrow(_cluster_blocks(p), BLOCK), sets, p).mapInArrow(beside(_tasks(), U, np.int32), "cluster long, one int, two int, block int, class long, grams binary")
+    links = saved(tasks.repartition(p, "cluster", "one", "two").mapInArrow(_search(num, den), "u long, v long"))
     if members.where("parts > 1").limit(1).count():
         found = connected(links)
     else:
