@@ -7,9 +7,10 @@ document that links lead to.
 1. Documents of equal sets are one class (64-bit digest of the set), so copies cost nothing later.
 2. A sketch of fixed size (2**18 counters) counts all n-grams of all documents. It only orders the
    n-grams, rare ones first; any order gives the same result.
-3. Two sets that reach the threshold share an n-gram among the first n - ceil(t * n) + 1 of each in
-   that order. These prefixes, packed in binary blocks per hash bucket, are the postings; classes that
-   meet in a posting list of compatible sizes are the members, the only ones whose sets are kept.
+3. Two sets that reach the threshold share l n-grams among the first n - ceil(t * n) + l of each in
+   that order, for any l. With l a tenth of the set these prefixes, packed in binary blocks per hash
+   bucket, are the postings; classes that meet others of compatible sizes in at least l posting lists
+   are the members, the only ones whose sets are kept.
 4. The members' n-grams are counted exactly. A member whose n-grams are shared for less than the
    threshold is linked with nothing. The others' prefixes, now in the order of exact counts, give
    posting lists again, in which passages that many unlike documents share no longer appear; classes
@@ -110,6 +111,11 @@ def _summary(width: int):
     return run
 
 
+def common(sizes: np.ndarray) -> np.ndarray:
+    """How many n-grams of the first postings a set must share to be a member."""
+    return np.maximum(1, -(-sizes // 10))
+
+
 def pack_postings(held: list[tuple], buckets: int) -> pa.RecordBatch:
     """(n-gram, class, size of the set) as binary blocks by bucket."""
     key, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -131,7 +137,7 @@ def _postings(width: int, num: int, den: int, levels, buckets: int):
                 key = (level[(grams >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(U) << U(58)) | (mix(grams) >> U(6))
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     key[a:b].sort()
-                prefix = np.where(sizes > 0, sizes - (-(-sizes * num // den)) + 1, 0)
+                prefix = np.where(sizes > 0, sizes - (-(-sizes * num // den)) + common(sizes), 0)
                 place = np.arange(len(key)) - np.repeat(bounds[:-1], sizes)
                 keep = place < np.repeat(prefix, sizes)
                 held.append((key[keep], np.repeat(digests(grams, bounds), sizes)[keep], np.repeat(sizes, sizes)[keep].astype(np.uint32)))
@@ -145,8 +151,8 @@ def _postings(width: int, num: int, den: int, levels, buckets: int):
     return run
 
 
-def _lists(num: int, den: int, members: bool):
-    """Runs of compatible sizes in the posting lists: their classes, or these with the smallest of their local component."""
+def _lists(num: int, den: int, parts: int = 0):
+    """Runs of compatible sizes in the posting lists: for the classes' homes (if parts) how many runs each is in, or links to the smallest of their local component."""
 
     def run(batches):
         held = [(np.frombuffer(k.as_buffer(), U), np.frombuffer(c.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.uint32)) for b in batches for k, c, n in zip(b.column(1), b.column(2), b.column(3), strict=True)]
@@ -165,8 +171,13 @@ def _lists(num: int, den: int, members: bool):
         start = np.flatnonzero(np.concatenate([[True], ~joined]))
         head = np.repeat(cls[start], np.diff(np.concatenate([start, [len(cls)]])))
         other = head != cls
-        if members:
-            yield pa.RecordBatch.from_arrays([pa.array(np.union1d(head[other], cls[other]))], ["class"])
+        if parts:
+            size = np.diff(np.concatenate([start, [len(cls)]]))
+            with_others = np.repeat(size > 1, size)
+            found, first, count = np.unique(cls[with_others], return_index=True, return_counts=True)
+            sizes, part = n[with_others][first], home(found, parts)
+            if len(found):
+                yield batch([(p, 0, deltas(found[at]), squeeze(count[at]), squeeze(sizes[at])) for p, at in cut(part, np.argsort(part, kind="stable"), parts)])
             return
         nodes, roots = local_roots(head[other], cls[other])
         apart = nodes != roots
@@ -175,6 +186,20 @@ def _lists(num: int, den: int, members: bool):
     return run
 
 
+def _often():
+    """Classes that are in enough posting lists with others."""
+
+    def run(batches):
+        held = [(undo(x), expand(y, np.int64), expand(z, np.int64)) for b in batches for x, y, z in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+        if held:
+            cls, count, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            found, first, place = np.unique(cls, return_index=True, return_inverse=True)
+            total = np.bincount(place, weights=count).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[total >= common(n[first])])], ["class"])
+
+    return run
+
+
 def _member_blocks(parts: int):
     """(doc_id, class) -> answers for the documents' homes."""
 
@@ -430,14 +455,14 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     stats = saved(docs.mapInArrow(_summary(width), "doc_id long, n long, class long"))
     lists = "bucket int, keys binary, classes binary, sizes binary"
     postings = docs.select("text").mapInArrow(_postings(width, num, den, levels, p), lists)
-    met = postings.repartitionById(p, "bucket").mapInArrow(_lists(num, den, True), "class long").distinct()
+    met = postings.repartitionById(p, "bucket").mapInArrow(_lists(num, den, p), BLOCK).repartitionById(p, "part").mapInArrow(_often(), "class long")
     classes = stats.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     members = classes.join(met, "class").where("rep is not null").select("rep", "class").mapInArrow(_member_blocks(p), BLOCK)
     sets = together(members, docs.mapInArrow(texts(p), BLOCK), p).mapInArrow(beside(_member_sets(width, p), U), BLOCK)
     sets = saved(sets)
     counts = sets.mapInArrow(_gram_marks(p), BLOCK).repartitionById(p, "part").mapInArrow(_counts(p), BLOCK)
     shared = together(counts, sets, p).mapInArrow(_shared_prefixes(num, den, p, p), lists)
-    clusters = connected(shared.repartitionById(p, "bucket").mapInArrow(_lists(num, den, False), "u long, v long"))
+    clusters = connected(shared.repartitionById(p, "bucket").mapInArrow(_lists(num, den), "u long, v long"))
     members = clusters.withColumnRenamed("node", "class").join(classes, "class")
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block_grams)).cast("int").alias("parts"))
     members = saved(members.join(parts, "root").select("class", F.col("root").alias("cluster"), "parts"))
