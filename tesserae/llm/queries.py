@@ -124,11 +124,45 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=2048)
 
 
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_fm import quality_fm
+
+    return quality_fm(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lz_fingerprint import lz_fingerprint
+
+    return lz_fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_topk import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+OP9_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs) WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_quality_fm": op4_quality_fm,
+    "op6_lz_fingerprint": op6_lz_fingerprint,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_exact_topk": op9_exact_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op7_substring_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op9_exact_topk": OP9_SQL}
