@@ -1,8 +1,55 @@
-"""Placeholder until all stages exist."""
+"""A training corpus from `documents`: quality classifier, near-duplicates, repeated passages, packing.
 
+Every stage but the last takes and returns the columns of documents, and works on all that the stage
+before it kept. Nulls in a text are empty texts; the operators' modules say how other cases count.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.llm.common import stored, table
+from tesserae.llm.ngram_jaccard import ngram_jaccard
+from tesserae.llm.packing import best_fit_packing
+from tesserae.llm.quality_fm import quality_filter
+from tesserae.llm.queries import tokenizer_path
+from tesserae.llm.suffix_dedup import suffix_dedup
+
+#: The stages need a learned model and a tokenizer, which SQL cannot express; tests/llm holds them against brute force.
 ORACLE_SQL = None
-STAGES = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts (score 0.7 or more)."""
+    return quality_filter(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    dropped = ngram_jaccard(docs, width=5, num=80, den=100).where("component_id <> doc_id").select("doc_id")
+    return docs.select(*COLUMNS).join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 50 bytes that a document of smaller doc_id has too; characters stay whole."""
+    found = suffix_dedup(docs.select(*COLUMNS), length=50, whole_characters=True, carry=("lang", "source"))
+    text = F.col("kept").cast("string")
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their places in sequences."""
+    return best_fit_packing(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing)]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is a table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -181,3 +181,20 @@ def quality_fm(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_
     model = spark.sparkContext.broadcast(fit(docs, labels, most_rows))  # 1.2 MB at any size
     scored = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_rows: int = 6000) -> DataFrame:
+    """The rows of docs, all their columns, whose text scores at least `threshold`; no row is moved between tasks."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    model = spark.sparkContext.broadcast(fit(docs, labels, most_rows))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        machine = model.value
+        for b in batches:
+            keep = [machine.score(data, offsets) >= threshold for _, _, data, offsets in slices(b.column(at))]
+            if keep:
+                yield b.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)

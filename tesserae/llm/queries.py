@@ -20,6 +20,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_crf import html_crf
+
+    return html_crf(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import ngram_jaccard
 
@@ -156,6 +162,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_crf": op1_html_crf,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_fm": op4_quality_fm,

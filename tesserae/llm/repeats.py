@@ -82,8 +82,8 @@ def cut(part: np.ndarray, order: np.ndarray, parts: int) -> Iterator[tuple[int,
         yield p, order[bounds[p] : bounds[p + 1]]
 
 
-def texts(parts: int) -> Callable:
-    """(doc_id, text) -> blocks of whole texts by home: x ids, y lengths, z the bytes."""
+def texts(parts: int, more: bool = False) -> Callable:
+    """(doc_id, text) -> blocks of whole texts by home: x ids, y lengths, z the bytes. With more, y also has the further columns."""
 
     def flush(held):
         doc = np.concatenate([h[0] for h in held])
@@ -91,7 +91,17 @@ def texts(parts: int) -> Callable:
         length = np.array([len(b) for b in bodies])
         part = home(doc, parts)
         press = zstandard.ZstdCompressor(level=3)
-        return batch([(p, 1, squeeze(doc[at]), squeeze(length[at]), press.compress(b"".join([bodies[i] for i in at.tolist()]))) for p, at in cut(part, np.argsort(part, kind="stable"), parts)])
+        rest = pa.Table.from_batches([h[2] for h in held]).combine_chunks() if more else None
+        rows = []
+        for p, at in cut(part, np.argsort(part, kind="stable"), parts):
+            y = squeeze(length[at])
+            if more:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema) as writer:
+                    writer.write_table(rest.take(pa.array(at)))
+                y = len(y).to_bytes(8, "little") + y + press.compress(sink.getvalue())
+            rows.append((p, 1, squeeze(doc[at]), y, press.compress(b"".join([bodies[i] for i in at.tolist()]))))
+        return batch(rows)
 
     def run(batches):
         held, size = [], 0
@@ -99,7 +109,7 @@ def texts(parts: int) -> Callable:
             doc = ids(b.column(0))
             for i, j, data, offsets in slices(b.column(1)):
                 raw, at = data.tobytes(), offsets.tolist()
-                held.append((doc[i:j], [raw[at[k] : at[k + 1]] for k in range(j - i)]))
+                held.append((doc[i:j], [raw[at[k] : at[k + 1]] for k in range(j - i)], b.slice(i, j - i).select(b.schema.names[2:]) if more else None))
                 size += len(raw)
                 if size > 8 * FLUSH:
                     yield flush(held)
@@ -209,8 +219,11 @@ class Answers:
         return np.searchsorted(self.doc, doc), np.searchsorted(self.doc, doc, side="right")
 
 
-def beside(step: Callable, kind, kind2=None) -> Callable:
-    """Blocks of answers (kind 0), then of texts (kind 1) -> step(answers, ids, data, offsets) for each slice of texts of about FLUSH bytes."""
+def beside(step: Callable, kind, kind2=None, more: bool = False) -> Callable:
+    """Blocks of answers (kind 0), then of texts (kind 1) -> step(answers, ids, data, offsets) for each slice of texts of about FLUSH bytes.
+
+    With more, step also gets the texts' further columns.
+    """
 
     def run(batches):
         answers, closed, held, size = Answers(), False, [], 0
@@ -219,11 +232,13 @@ def beside(step: Callable, kind, kind2=None) -> Callable:
             doc = np.concatenate([h[0] for h in held])
             ends = np.concatenate([[0], np.cumsum(np.concatenate([h[1] for h in held]))])
             raw = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
+            rest = pa.concat_tables([h[3] for h in held]).combine_chunks() if more else None
             held.clear()
             first = 0
             while first < len(doc):
                 end = max(first + 1, int(np.searchsorted(ends, ends[first] + FLUSH, side="right")) - 1)
-                yield from step(answers, doc[first:end], raw[ends[first] : ends[end]], ends[first : end + 1] - ends[first])
+                extra = (rest.slice(first, end - first),) if more else ()
+                yield from step(answers, doc[first:end], raw[ends[first] : ends[end]], ends[first : end + 1] - ends[first], *extra)
                 first = end
 
         for b in batches:
@@ -234,8 +249,13 @@ def beside(step: Callable, kind, kind2=None) -> Callable:
                 if not closed:
                     answers.close(kind)
                     closed = True
+                rest = None
+                if more:
+                    cut_at = 8 + int.from_bytes(y[:8], "little")
+                    rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(y[cut_at:])).read_all()
+                    y = y[8:cut_at]
                 length = expand(y, np.int64)
-                held.append((expand(x, np.int64), length, zstandard.ZstdDecompressor().decompress(z) if length.sum() else b""))
+                held.append((expand(x, np.int64), length, zstandard.ZstdDecompressor().decompress(z) if length.sum() else b"", rest))
                 size += len(held[-1][2])
                 if size >= FLUSH:
                     yield from hand()

@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import partitions, small_batches
-from .repeats import BLOCK, FLUSH, U, Answers, batch, beside, bucket_of, cut, deltas, ids_back, marks, meet, reply, texts, together, undo  # noqa: F401
+from .repeats import BLOCK, FLUSH, U, batch, beside, bucket_of, cut, ids_back, marks, meet, reply, texts, together
 from .textkit import BYTE_VALUES, Spans, mix
 
 GRAM = 20
@@ -296,7 +297,7 @@ def _settle(length: int, parts: int):
 
 
 def _kept(length: int, whole_characters: bool):
-    def step(answers, doc, data, offsets):
+    def step(answers, doc, data, offsets, rest=None):
         n = len(data)
         low, high = answers.bounds(doc)
         count = high - low
@@ -323,13 +324,13 @@ def _kept(length: int, whole_characters: bool):
         kept = data[~gone].tobytes()
         ends = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)]).tolist()
         pairs = pa.StructArray.from_arrays([pa.array(begin - shift), pa.array(end - shift)], ["begin", "end"])
-        yield pa.RecordBatch.from_arrays([ids_back(doc), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pairs), pa.array([kept[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([ids_back(doc), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pairs), pa.array([kept[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), *(c.combine_chunks() for c in (rest.columns if rest is not None else []))], ["doc_id", "n_bytes", "n_removed", "spans", "kept", *(rest.schema.names if rest is not None else [])])
 
     return step
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, whole_characters: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans array of (begin, end), kept binary); see the module.
+def suffix_dedup(docs: DataFrame, length: int = 50, whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans array of (begin, end), kept binary, carried columns); see the module.
 
     whole_characters keeps a character of which only some bytes are covered, so that kept is UTF-8.
     """
@@ -337,9 +338,11 @@ def suffix_dedup(docs: DataFrame, length: int = 50, whole_characters: bool = Fal
         raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 31}")
     spark = docs.sparkSession
     small_batches(spark)
-    docs, p = docs.select("doc_id", "text"), partitions(spark)
-    bodies = docs.mapInArrow(texts(p), BLOCK)
+    rest, p = docs.select(*carry).schema, partitions(spark)
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, spans array<struct<begin: long, end: long>>, kept binary")
+    bodies = docs.select("doc_id", "text", *carry).mapInArrow(texts(p, bool(carry)), BLOCK)
+    docs = docs.select("doc_id", "text")
     candidates = docs.mapInArrow(marks(_marks(length), p), BLOCK).repartitionById(p, "part").mapInArrow(meet(p, True), BLOCK)
-    runs = together(candidates, bodies, p).mapInArrow(_evidence(length, p), BLOCK)
+    runs = together(candidates, docs.mapInArrow(texts(p), BLOCK), p).mapInArrow(_evidence(length, p), BLOCK)
     repeats = runs.repartitionById(p, "part").mapInArrow(_settle(length, p), BLOCK)
-    return together(repeats, bodies, p).mapInArrow(beside(_kept(length, whole_characters), U), "doc_id long, n_bytes long, n_removed long, spans array<struct<begin: long, end: long>>, kept binary")
+    return together(repeats, bodies, p).mapInArrow(beside(_kept(length, whole_characters), U, more=bool(carry)), T.StructType([*schema, *rest]))
