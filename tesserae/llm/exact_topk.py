@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import lean, partitions, small_batches
 from .repeats import BLOCK, U, batch, cut, expand, home, squeeze
 from .textkit import mix
 
@@ -151,6 +151,6 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64
     spark = vectors.sparkSession
     small_batches(spark)
     p = partitions(spark)
-    blocks = vectors.select("vec_id", "embedding").where("vec_id is not null").mapInArrow(_deal(scale, every, p), BLOCK)
-    groups = blocks.repartitionById(p, F.col("part")).sortWithinPartitions("kind").mapInArrow(_group(k, p), BLOCK)
-    return groups.repartitionById(p, F.col("part")).mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score long")
+    blocks = vectors.select("vec_id", "embedding").where("vec_id is not null").mapInArrow(lean(_deal(scale, every, p)), BLOCK)
+    groups = blocks.repartitionById(p, F.col("part")).sortWithinPartitions("kind").mapInArrow(lean(_group(k, p)), BLOCK)
+    return groups.repartitionById(p, F.col("part")).mapInArrow(lean(_merge(k)), "query_id long, rank int, vec_id long, score long")

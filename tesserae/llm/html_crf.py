@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import lean, small_batches
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template|svg|iframe|textarea|select|object|math)\b(?:"[^"]*"|'[^']*'|[^'">])*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _RAW = re.compile(r"<([a-zA-Z]+)")
@@ -432,4 +432,4 @@ def html_crf(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(trained())
-    return pages.select("page_id", "url", "html").mapInArrow(_run(model), "page_id long, url string, text string, n_chars long, n_blocks int, n_main int")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(_run(model)), "page_id long, url string, text string, n_chars long, n_blocks int, n_main int")

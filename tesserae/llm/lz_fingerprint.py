@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import lean, partitions, small_batches
 from .textkit import BYTE_VALUES, Spans, mix
 
 SLOTS = 128
@@ -137,10 +137,10 @@ def lz_fingerprint(docs: DataFrame) -> DataFrame:
     lead = own.where(F.col("rank").isin(list(guests)) if guests else F.lit(False)).groupBy("rank").agg(F.min(F.struct("text", "doc_id")).alias("row"))
     back = F.create_map(*[F.lit(x) for pair in guests.items() for x in pair]) if guests else None
     if back is None:
-        return own.select("doc_id", "text").mapInArrow(_chain, _SCHEMA)
+        return own.select("doc_id", "text").mapInArrow(lean(_chain), _SCHEMA)
     visiting = lead.select("row.doc_id", "row.text", "rank", back[F.col("rank")].alias("part"), F.lit(1).alias("guest"))
     dealt = own.union(visiting).repartitionById(p, F.col("part")).sortWithinPartitions("guest", F.desc("rank"), "text")
-    return dealt.select("doc_id", "text").mapInArrow(_chain, _SCHEMA)
+    return dealt.select("doc_id", "text").mapInArrow(lean(_chain), _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, local_roots, partitions, saved, small_batches
+from .common import connected, lean, local_roots, partitions, saved, small_batches
 from .repeats import BLOCK, FLUSH, batch, beside, bucket_of, cut, deltas, expand, home, reply, squeeze, texts, together, undo
 from .textkit import Spans, mix, slices, word_hashes
 
@@ -95,7 +95,7 @@ def _add(rows):
 
 def rarity(docs: DataFrame, width: int) -> np.ndarray:
     """A level from 0 to 63 for each counter of the sketch: half powers of two of its count against the median."""
-    parts = docs.select("text").mapInArrow(_sketch(width), "part int, counts binary")
+    parts = docs.select("text").mapInArrow(lean(_sketch(width)), "part int, counts binary")
     rows = sorted(parts.groupBy("part").applyInArrow(_add, "part int, counts binary").collect())
     counts = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows]) if rows else np.ones(1 << SKETCH_BITS)
     middle = max(1.0, float(np.median(counts)))
@@ -452,22 +452,22 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     docs = docs.select("doc_id", "text")
     p = partitions(spark)
     levels = spark.sparkContext.broadcast(rarity(docs, width))  # 256 KB at any size
-    stats = saved(docs.mapInArrow(_summary(width), "doc_id long, n long, class long"))
+    stats = saved(docs.mapInArrow(lean(_summary(width)), "doc_id long, n long, class long"))
     lists = "bucket int, keys binary, classes binary, sizes binary"
-    postings = docs.select("text").mapInArrow(_postings(width, num, den, levels, p), lists)
-    met = postings.repartitionById(p, "bucket").mapInArrow(_lists(num, den, p), BLOCK).repartitionById(p, "part").mapInArrow(_often(), "class long")
+    postings = docs.select("text").mapInArrow(lean(_postings(width, num, den, levels, p)), lists)
+    met = postings.repartitionById(p, "bucket").mapInArrow(lean(_lists(num, den, p)), BLOCK).repartitionById(p, "part").mapInArrow(lean(_often()), "class long")
     classes = stats.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    members = classes.join(met, "class").where("rep is not null").select("rep", "class").mapInArrow(_member_blocks(p), BLOCK)
-    sets = together(members, docs.mapInArrow(texts(p), BLOCK), p).mapInArrow(beside(_member_sets(width, p), U), BLOCK)
+    members = classes.join(met, "class").where("rep is not null").select("rep", "class").mapInArrow(lean(_member_blocks(p)), BLOCK)
+    sets = together(members, docs.mapInArrow(lean(texts(p)), BLOCK), p).mapInArrow(lean(beside(_member_sets(width, p), U)), BLOCK)
     sets = saved(sets)
-    counts = sets.mapInArrow(_gram_marks(p), BLOCK).repartitionById(p, "part").mapInArrow(_counts(p), BLOCK)
-    shared = together(counts, sets, p).mapInArrow(_shared_prefixes(num, den, p, p), lists)
-    clusters = connected(shared.repartitionById(p, "bucket").mapInArrow(_lists(num, den), "u long, v long"))
+    counts = sets.mapInArrow(lean(_gram_marks(p)), BLOCK).repartitionById(p, "part").mapInArrow(lean(_counts(p)), BLOCK)
+    shared = together(counts, sets, p).mapInArrow(lean(_shared_prefixes(num, den, p, p)), lists)
+    clusters = connected(shared.repartitionById(p, "bucket").mapInArrow(lean(_lists(num, den)), "u long, v long"))
     members = clusters.withColumnRenamed("node", "class").join(classes, "class")
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block_grams)).cast("int").alias("parts"))
     members = saved(members.join(parts, "root").select("class", F.col("root").alias("cluster"), "parts"))
-    tasks = together(members.mapInArrow(_cluster_blocks(p), BLOCK), sets, p).mapInArrow(beside(_tasks(), U, np.int32), "cluster long, one int, two int, block int, class long, grams binary")
-    links = saved(tasks.repartition(p, "cluster", "one", "two").mapInArrow(_search(num, den), "u long, v long"))
+    tasks = together(members.mapInArrow(lean(_cluster_blocks(p)), BLOCK), sets, p).mapInArrow(lean(beside(_tasks(), U, np.int32)), "cluster long, one int, two int, block int, class long, grams binary")
+    links = saved(tasks.repartition(p, "cluster", "one", "two").mapInArrow(lean(_search(num, den)), "u long, v long"))
     if members.where("parts > 1").limit(1).count():
         found = connected(links)
     else:

@@ -83,7 +83,7 @@ class Vocabulary:
     pre-tokens the cache starts anew, so its size is bounded.
     """
 
-    def __init__(self, of: Callable, kinds: tuple = (np.uint32,), most: int = 1 << 21):
+    def __init__(self, of: Callable, kinds: tuple = (np.uint32,), most: int = 1 << 20):
         self._of, self._kinds, self._most = of, kinds, most
         self._clear()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 from .textkit import slices, word_hashes
 
 BITS, RANK = 15, 8
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> Machine:
     """Learns from at most `most_rows` labelled documents that are not held out."""
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "doc_id", "label").mapInArrow(_examples, "doc_id long, label double, index binary, value binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "doc_id", "label").mapInArrow(lean(_examples), "doc_id long, label double, index binary, value binary").collect()
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
     lists = [np.frombuffer(r["index"], np.int32) for r in rows]
     index = np.concatenate([*lists, np.empty(0, np.int32)]).astype(np.int64)
@@ -179,7 +179,7 @@ def quality_fm(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels, most_rows))  # 1.2 MB at any size
-    scored = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(lean(_score(model)), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -197,4 +197,4 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
