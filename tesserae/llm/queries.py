@@ -136,6 +136,12 @@ def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"), coverage=0.8)
+
+
 def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lz_fingerprint import lz_fingerprint
 
@@ -166,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_fm": op4_quality_fm,
+    "op5_license_scan": op5_license_scan,
     "op6_lz_fingerprint": op6_lz_fingerprint,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
