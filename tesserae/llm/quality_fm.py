@@ -99,6 +99,7 @@ class Machine:
         count = len(label)
         if count == 0:
             self.bias = np.float32(0)
+            self.vectors[:] = 0
             return self
         rate = float(label.mean())
         if rate in (0.0, 1.0):

@@ -13,6 +13,7 @@ of records are bounded by `FLUSH` records or bytes on the sending side, and by t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from .textkit import mix, slices
 
 U = np.uint64
 FLUSH = 1 << 20
-#: Stands for a null doc_id in blocks: it sorts after every id.
-NO_ID = np.iinfo(np.int64).max
+#: In blocks a null doc_id is NO_ID or above, told apart by its text: such rows sort after every id, and none before another.
+NO_ID = 1 << 62
 BLOCK = "part int, kind int, x binary, y binary, z binary"
 
 
@@ -51,14 +52,24 @@ def undo(block) -> np.ndarray:
     return np.cumsum(expand(block, np.int64))
 
 
-def ids(column: pa.Array) -> np.ndarray:
+def ids(column: pa.Array, text: pa.Array) -> np.ndarray:
+    """Ids as integers; rows without one get a number from their text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.asarray(column.fill_null(NO_ID))
+    out = np.array(column.fill_null(NO_ID))
+    if column.null_count:
+        for i in np.flatnonzero(np.asarray(column.is_null())).tolist():
+            out[i] = NO_ID + int.from_bytes(hashlib.blake2b((text[i].as_py() or "").encode(), digest_size=7).digest(), "big")
+    return out
 
 
 def ids_back(x: np.ndarray) -> pa.Array:
-    return pa.array(x, pa.int64(), mask=x == NO_ID)
+    return pa.array(x, pa.int64(), mask=x >= NO_ID)
+
+
+def rank(doc: np.ndarray) -> np.ndarray:
+    """Ids as documents are ordered by them."""
+    return np.minimum(doc, NO_ID)
 
 
 def home(doc: np.ndarray, parts: int) -> np.ndarray:
@@ -106,7 +117,7 @@ def texts(parts: int, more: bool = False) -> Callable:
     def run(batches):
         held, size = [], 0
         for b in batches:
-            doc = ids(b.column(0))
+            doc = ids(b.column(0), b.column(1))
             for i, j, data, offsets in slices(b.column(1)):
                 raw, at = data.tobytes(), offsets.tolist()
                 held.append((doc[i:j], [raw[at[k] : at[k + 1]] for k in range(j - i)], b.slice(i, j - i).select(b.schema.names[2:]) if more else None))
@@ -134,7 +145,7 @@ def marks(of: Callable, parts: int) -> Callable:
     def run(batches):
         held, size = [], 0
         for b in batches:
-            doc = ids(b.column(0))
+            doc = ids(b.column(0), b.column(1))
             for i, _, data, offsets in slices(b.column(1)):
                 h, row, index = of(data, offsets)
                 if len(h):
@@ -180,7 +191,7 @@ def meet(parts: int, other_document: bool) -> Callable:
             start = np.flatnonzero(head)
             size = np.diff(np.concatenate([start, [len(m)]]))
             if other_document:
-                repeats = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
+                repeats = np.minimum.reduceat(rank(d), start) != np.maximum.reduceat(rank(d), start)
             else:
                 repeats = size > 1
             value = m[start]

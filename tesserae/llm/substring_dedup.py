@@ -20,14 +20,12 @@ stays null. Repeated rows repeat each other's windows, so both lose them. Other
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import lean, partitions, small_batches
-from .repeats import BLOCK, NO_ID, U, batch, beside, bucket_of, covered, cut, deltas, expand, home, ids_back, marks, meet, reply, squeeze, texts, together, undo
+from .repeats import BLOCK, U, batch, beside, bucket_of, covered, cut, deltas, expand, ids_back, marks, meet, reply, squeeze, texts, together, undo
 from .textkit import Spans, owners, word_hashes
 
 

@@ -16,9 +16,10 @@ with a smaller doc_id goes; strings are judged on the input, and none crosses do
 5. Runs of the LCP array, with fingerprints of the bytes before the anchors, are classes of equal
    windows; a class's smallest document keeps them, the others are told what to remove.
 
-Nulls are empty texts: n_bytes 0. A null doc_id sorts after every id. doc_id names a text: repeated
-rows of one doc_id are equal documents with equal ids, so neither removes from the other. Other columns
-are ignored.
+Nulls are empty texts: n_bytes 0. A null doc_id sorts after every id, and none before another. doc_id names
+a text: repeated rows of one doc_id are equal documents with equal ids, so neither removes from the other
+(should one id hold unlike texts, both are cut at the places found for either). Other columns are ignored
+unless they are carried.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import lean, partitions, small_batches
-from .repeats import BLOCK, FLUSH, U, batch, beside, bucket_of, cut, ids_back, marks, meet, reply, texts, together
+from .repeats import BLOCK, FLUSH, U, batch, beside, bucket_of, cut, ids_back, marks, meet, rank, reply, texts, together
 from .textkit import BYTE_VALUES, Spans, mix
 
 GRAM = 20
@@ -106,8 +107,8 @@ def _run(suffix, size, before, bsize, doc, at) -> bytes:
     head = np.concatenate([[True], label[1:] != label[:-1]])
     entry, first = np.cumsum(head) - 1, by[head]
     order = _suffix_order(suffix[first], size[first])
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    placed = np.empty(len(order), np.int64)
+    placed[order] = np.arange(len(order))
     first = first[order]
     suffix, size, before, bsize = suffix[first], size[first].astype(np.uint8), before[first], bsize[first].astype(np.uint8)
     lcp = np.zeros(len(first), np.uint8)
@@ -118,8 +119,8 @@ def _run(suffix, size, before, bsize, doc, at) -> bytes:
     column = np.arange(suffix.shape[1])
     rest = suffix[(column >= lcp[:, None]) & (column < size[:, None])]
     tail = before[np.arange(before.shape[1]) >= before.shape[1] - bsize[:, None]]
-    place = np.lexsort((at[by], doc[by], rank[entry]))
-    return _pack(lcp, size, rest, bsize, tail, rank[entry][place].astype(np.uint32), doc[by][place], at[by][place].astype(np.uint32))
+    place = np.lexsort((at[by], doc[by], placed[entry]))
+    return _pack(lcp, size, rest, bsize, tail, placed[entry][place].astype(np.uint32), doc[by][place], at[by][place].astype(np.uint32))
 
 
 def _unfold(flat: np.ndarray, from_: np.ndarray, to: np.ndarray, width: int) -> np.ndarray:
@@ -259,13 +260,14 @@ def _settle(length: int, parts: int):
         del keys, shared
         first = np.concatenate([[0], np.cumsum([len(r[0]) for r in runs])])
         merged = first[which] + place
-        rank = np.empty(len(merged), np.int64)
-        rank[merged] = np.arange(len(merged))
+        placed = np.empty(len(merged), np.int64)
+        placed[merged] = np.arange(len(merged))
         size, before, bsize = (np.concatenate([r[k] for r in runs])[merged].astype(np.int64 if k != 3 else np.uint8) for k in (1, 3, 4))
-        entry = rank[np.concatenate([first[i] + r[5] for i, r in enumerate(runs)])]
+        entry = placed[np.concatenate([first[i] + r[5] for i, r in enumerate(runs)])]
         doc, at = np.concatenate([r[6] for r in runs]), np.concatenate([r[7] for r in runs])
+        order_ = rank(doc)
         smallest = np.full(len(merged), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, entry, doc)
+        np.minimum.at(smallest, entry, rank(doc))
         mask = np.zeros(len(doc), np.uint32)
         left = np.zeros(len(merged), U)
         for t in range(length - GRAM + 1):  # the window that starts t bytes before the anchor
@@ -281,7 +283,7 @@ def _settle(length: int, parts: int):
             np.minimum.at(low, inverse, smallest[valid])
             least = np.full(len(merged), np.iinfo(np.int64).max)
             least[valid] = low[inverse]
-            mask |= (least[entry] < doc).astype(np.uint32) << np.uint32(t)
+            mask |= (least[entry] < order_).astype(np.uint32) << np.uint32(t)
         some = mask > 0
         yield from reply(doc[some], at[some].astype(U) << U(32) | mask[some], parts)
 
@@ -304,9 +306,11 @@ def _kept(length: int, whole_characters: bool):
         places = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
         value = answers.value[places] if len(places) else np.empty(0, U)
         anchor = (value >> U(32)).astype(np.int64) + np.repeat(offsets[:-1], count)
+        first, last = np.repeat(offsets[:-1], count), np.repeat(offsets[1:], count) - length
         change = np.zeros(n + 1, np.int64)
         for t in range(length - GRAM + 1):
-            start = anchor[(value >> U(t)) & U(1) == 1] - t
+            start = anchor - t  # within its text, unless another text has the same doc_id
+            start = start[((value >> U(t)) & U(1) == 1) & (start >= first) & (start <= last)]
             if len(start):
                 change += np.bincount(start, minlength=n + 1) - np.bincount(start + length, minlength=n + 1)
         gone = np.cumsum(change[:-1]) > 0
