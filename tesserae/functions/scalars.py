@@ -21,12 +21,12 @@ def frame_count(seconds: Column) -> Column:
 
 
 def hold_for(fps: Column) -> Column:
-    """Frames to hold each picture for a wanted rate, half to even, at least 1."""
-    return F.greatest(F.lit(1), whole(F.bround(F.lit(FPS_NUM / FPS_DEN) / fps)))
+    """Frames to hold each picture for a wanted rate, half to even, at least 1; 1 for a rate of 0."""
+    return F.greatest(F.lit(1), whole(F.bround(F.try_divide(F.lit(FPS_NUM / FPS_DEN), fps))))
 
 
 def kept_share(hold: Column, fps: Column) -> Column:
-    return F.least(F.lit(1.0), F.lit(FPS_NUM / FPS_DEN) / hold / fps)
+    return F.least(F.lit(1.0), F.try_divide(F.try_divide(F.lit(FPS_NUM / FPS_DEN), hold), fps))
 
 
 def even(c: Column) -> Column:
@@ -95,7 +95,7 @@ def clock(minutes: Column) -> Column:
     """h:mm:ss, or m:ss under an hour."""
     total = whole(F.bround(minutes * 60))
     rest = total % 3600
-    return F.when(total >= 3600, F.format_string("%d:%02d:%02d", whole(total / 3600), whole(rest / 60), rest % 60)).otherwise(F.format_string("%d:%02d", whole(rest / 60), rest % 60))
+    return F.when(total >= 3600, F.format_string("%d:%02d:%02d", whole(total / 3600), whole(rest / 60), rest % 60)).when(total.isNotNull(), F.format_string("%d:%02d", whole(rest / 60), rest % 60))
 
 
 def seconds_to_frames(seconds: Column, num: int = FPS_NUM, den: int = FPS_DEN) -> Column:
@@ -137,7 +137,7 @@ def epoch_seconds(cuts: Column, least: float = 2.5, most: float = 8.0) -> Column
 
 def power_of_two(size: Column) -> Column:
     """The least power of two that holds size, 2**20 at least."""
-    return F.greatest(F.lit(CAPACITY).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(size - 1))))
+    return F.greatest(F.lit(CAPACITY).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.greatest(size - 1, F.lit(0))))))
 
 
 def most_minutes(rate: Column) -> Column:

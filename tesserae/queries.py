@@ -338,7 +338,7 @@ def colour_index(spark, d):
 
 
 @query(f"""
-SELECT event_id, floor(value * {FPS})::BIGINT AS frames, greatest(1, round_even({FPS} / (value / 10), 0))::BIGINT AS hold, floor(event_id * 60 * 15625.0 / 264)::BIGINT AS seconds_frames, ((event_id * 3 + 7 // 2) // 7) & 65535 AS page, CASE WHEN event_id >= 5000 THEN 40 ELSE event_id * 40 // 5000 END AS bar, greatest(0, least(event_id, 2999)) AS clamped FROM events
+SELECT event_id, floor(value * {FPS})::BIGINT AS frames, greatest(1, round_even({FPS} / nullif(value / 10, 0), 0))::BIGINT AS hold, floor(event_id * 60 * 15625.0 / 264)::BIGINT AS seconds_frames, ((event_id * 3 + 7 // 2) // 7) & 65535 AS page, CASE WHEN event_id >= 5000 THEN 40 ELSE event_id * 40 // 5000 END AS bar, greatest(0, least(event_id, 2999)) AS clamped FROM events
 """)
 def frame_clock(spark, d):
     """PRJ-1, PRJ-2, PRJ-28, PRJ-29, PRJ-30, PRJ-31."""
@@ -396,7 +396,7 @@ def audio_rates(spark, d):
     return p.select("p_partkey", scalars.delta_n(F.col("p_retailprice") * 40).alias("delta_n"), F.round(scalars.audio_rate_for(F.col("p_size")), 6).alias("rate"), F.round(scalars.epoch_seconds(F.col("p_size")), 9).alias("epoch"))
 
 
-@query("SELECT p_partkey, m <= c * 0.92 AS fits, CASE WHEN m <= c * 0.92 THEN 0.0 ELSE ceil((m - c * 0.92) * 60) / 60 END AS trim, greatest(1048576, 1 << length(bin(p_partkey * 9973 - 1))) AS image FROM (SELECT p_partkey, p_size::DOUBLE AS m, 1048576 / (p_retailprice * 40) AS c FROM part)")
+@query("SELECT p_partkey, m <= c * 0.92 AS fits, CASE WHEN m <= c * 0.92 THEN 0.0 ELSE ceil((m - c * 0.92) * 60) / 60 END AS trim, greatest(1048576, 1 << length(bin(greatest(p_partkey * 9973 - 1, 0)))) AS image FROM (SELECT p_partkey, p_size::DOUBLE AS m, 1048576 / (p_retailprice * 40) AS c FROM part)")
 def capacity_fit(spark, d):
     """PRJ-15, PRJ-37, FLT-5, FLT-6, SRT-4."""
     m, c = F.col("p_size").cast("double"), scalars.most_minutes(F.col("p_retailprice") * 40)
