@@ -540,3 +540,159 @@ def bounded_reach(spark, d):
         step = step.join(edges, "b").select("a", F.col("next").alias("b"), F.lit(spent).alias("spent"))
         seen = seen.union(step)
     return seen.groupBy("a", "b").agg(F.min("spent").alias("spent"))
+
+
+# Folds with feedback, schedules and listings.
+
+
+@query()
+def budgeted_encode(spark, d):
+    """STF-1, STF-2, STF-4, FLT-3: users as sources, runs of eight events as frames, under a budget of distinct values."""
+    from .operators.encode import encode
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    cells = read(spark, d, "events").select("user_id", "event_id", "value").withColumn("n", F.row_number().over(w) - 1)
+    cell = F.array_sort(F.collect_list(F.struct((F.col("n") % 8).cast("long").alias("s"), F.round("value").alias("v"))))
+    frames = cells.groupBy(F.col("user_id").alias("scope"), F.floor(F.col("n") / 8).alias("frame")).agg(cell.alias("c"))
+    return encode(frames.select("scope", "frame", F.col("c.s").alias("slots"), F.col("c.v").alias("values")), 20.0, 40, 6)
+
+
+@query()
+def bank_aligned(spark, d):
+    """WIN-6: record offsets that do not cross banks."""
+    from .operators.encode import bank_offsets
+
+    return bank_offsets(read(spark, d, "events").select(F.col("user_id").alias("scope"), F.col("event_id").alias("frame"), (F.length("props") * 7).cast("long").alias("bytes")), 512)
+
+
+@query("""
+WITH s AS (SELECT n_nationkey AS epoch, n_nationkey * 100 + 50 AS start FROM nation)
+SELECT epoch, (start - 3 + k)::INT AS frame, (k * 48)::INT AS first, least(48, 130 - k * 48)::INT AS n FROM s, range(3) AS r(k)
+""")
+def epoch_preload(spark, d):
+    """STF-7, PRJ-36: the slices that load an epoch's words before it starts."""
+    from .operators.encode import preload
+
+    epochs = read(spark, d, "nation").select(F.col("n_nationkey").alias("epoch"), (F.col("n_nationkey") * 100 + 50).alias("start"))
+    return preload(epochs, 130).select("epoch", "frame", "first", "n")
+
+
+@query("""
+WITH c AS (SELECT event_id AS frame, value > 300 AS cut FROM events WHERE event_id % 10 = 0)
+SELECT frame, (SELECT count(*) FROM c b WHERE b.cut AND b.frame <= c.frame) AS epoch FROM c
+""")
+def epoch_buckets(spark, d):
+    """AGG-18: samples by the epoch they fall in."""
+    samples = read(spark, d, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("frame"), (F.col("value") > 300).cast("long").alias("cut"))
+    return ordered.running_sum(samples, "frame", F.col("cut"), "epoch").select("frame", "epoch")
+
+
+@query()
+def epoch_boundaries(spark, d):
+    """WIN-7: epochs from the sampled share of moved slots."""
+    from .operators.encode import epoch_starts
+
+    total = 5000
+    shares = read(spark, d, "events").where(F.col("event_id") < total).groupBy(F.floor(F.col("event_id") / 50).alias("k")).agg(F.avg((F.col("value") > 60).cast("double")).alias("share")).orderBy("k").collect()
+    return spark.createDataFrame(list(enumerate(epoch_starts([(r["k"] * 50, r["share"]) for r in shares], total, 400, 120))), "epoch long, start long")
+
+
+@query("""
+WITH e AS (SELECT event_id AS target FROM events), k AS (SELECT event_id AS f FROM events WHERE event_id % 90 = 0)
+SELECT target, (SELECT max(f) FROM k WHERE f <= target) AS landed, (SELECT max(f) FROM k WHERE f <= target) + 1 AS position FROM e
+""")
+def cursor_seek(spark, d):
+    """STF-9: a seek lands on the keyframe at or before the target."""
+    from .operators.encode import seek
+
+    events = read(spark, d, "events").select("event_id")
+    return seek(events.select(F.col("event_id").alias("target")), "target", events.where("event_id % 90 = 0"), "event_id").select("target", "landed", "position")
+
+
+@query(f"""
+WITH l AS (SELECT {_LEVELS} AS t), px AS (SELECT c_custkey % 20 AS slot, c_custkey AS frame, unnest([c_custkey * 7919 % 32768, c_nationkey * 1031 % 32768, c_custkey * 131 % 32768]) AS c, generate_subscripts([1, 2, 3], 1) AS i FROM customer WHERE c_custkey <= 400),
+p AS (SELECT slot, frame, i, c, lag(c) OVER (PARTITION BY slot, i ORDER BY frame) AS o FROM px)
+SELECT slot, frame, count(*) AS cells, count(*) FILTER (c <> o) AS changed FROM p WHERE o IS NOT NULL GROUP BY slot, frame
+""")
+def slot_movement(spark, d):
+    """PRJ-13, FLT-4, AGG-10: compared cells and changed ones; the metric itself is tested on its own."""
+    k = F.col("c_custkey")
+    px = read(spark, d, "customer").where("c_custkey <= 400").select((k % 20).alias("slot"), k.alias("frame"), F.array((k * 7919) % 32768, (F.col("c_nationkey").cast("long") * 1031) % 32768, (k * 131) % 32768).alias("px"))
+    w = Window.partitionBy("slot").orderBy("frame")
+    pair = px.withColumn("old", F.lag("px").over(w)).where("old is not null")
+    differ = F.size(F.filter(F.zip_with("px", "old", lambda a, b: a != b), lambda x: x))
+    return pair.select("slot", "frame", F.size("px").cast("long").alias("cells"), differ.cast("long").alias("changed"))
+
+
+@query("SELECT o_orderstatus AS source, count(*) FILTER (o_custkey % 3 = 0) > count(*) FILTER (o_custkey % 3 <> 0) AS interlaced, arg_max(o_custkey || ':' || o_orderkey || ':0:0', o_orderkey) FILTER (o_custkey % 5 = 0) AS crop FROM orders GROUP BY o_orderstatus")
+def source_analysis(spark, d):
+    """SRC-3, SRC-4: verdict and last crop from log lines."""
+    from .sources.listings import source_analysis as analyse
+
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    head = F.when(c % 3 == 0, F.lit("TFF: 1 BFF: 0 Progressive: 0")).otherwise(F.lit("TFF: 0 BFF: 0 Progressive: 1"))
+    crop = F.when(c % 5 == 0, F.concat(F.lit(" crop="), c.cast("string"), F.lit(":"), o.cast("string"), F.lit(":0:0"))).otherwise("")
+    return analyse(read(spark, d, "orders").select(F.col("o_orderstatus").alias("source"), F.concat(head, crop).alias("line"), "o_orderkey"), "source", "line", "o_orderkey")
+
+
+@query("""
+SELECT user_id, event_id, last_value(CASE WHEN value > 300 THEN '-' WHEN event_type = 'click' THEN event_id::VARCHAR END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS held FROM events
+""")
+def sticky_register(spark, d):
+    """WIN-12: the last value set, '-' once cleared."""
+    from .sources.listings import sticky
+
+    rows = read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "click", F.col("event_id").cast("string")).alias("port"), (F.col("value") > 300).alias("cleared"))
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = sticky(rows, "user_id", "event_id", "port", "cleared").withColumn("any", F.max((F.col("cleared") | F.col("port").isNotNull()).cast("int")).over(w))
+    return found.select("user_id", "event_id", F.when(F.col("any") == 1, F.coalesce("held", F.lit("-"))).alias("held"))
+
+
+@query("SELECT doc_id, sha1(text) AS sha1, strlen(text) AS bytes, coalesce(nullif((strlen(text) + 255) // 256, 0), 1) * 256 AS padded FROM documents")
+def archive_listing(spark, d):
+    """SNK-7, SNK-13: digests and padded sizes of parts."""
+    size = F.octet_length("text").cast("long")
+    return read(spark, d, "documents").select("doc_id", F.sha1("text").alias("sha1"), size.alias("bytes"), (F.greatest(F.floor((size + 255) / 256), F.lit(1)) * 256).alias("padded"))
+
+
+@query("SELECT vec_id, list_transform(range(16), lambda i: CASE WHEN i % 2 = 0 THEN floor(embedding[i // 2 + 1]::DOUBLE * 64) ELSE floor(embedding[i // 2 + 9]::DOUBLE * 64) END::BIGINT) AS woven FROM embeddings")
+def interleave(spark, d):
+    """SNK-6, SNK-12: two halves woven element by element."""
+    half = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: F.floor(x.cast("double") * 64))
+    return read(spark, d, "embeddings").select("vec_id", F.flatten(F.zip_with(half(1), half(9), lambda a, b: F.array(a, b))).alias("woven"))
+
+
+@query("SELECT 'a' AS part, event_id AS frame, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events WHERE event_id BETWEEN 100 AND 199 UNION ALL SELECT 'b', event_id, 100 + row_number() OVER (ORDER BY event_id) - 1 FROM events WHERE event_id BETWEEN 700 AND 749")
+def joined_windows(spark, d):
+    """SET-1, SRT-6: clips end to end with new frame numbers."""
+    e = read(spark, d, "events").select(F.col("event_id").alias("frame"))
+    clips = e.where("frame between 100 and 199").withColumn("part", F.lit("a")).unionByName(e.where("frame between 700 and 749").withColumn("part", F.lit("b")))
+    return ordered.numbered(clips, "frame", "n").select("part", "frame", "n")
+
+
+@query("SELECT p_brand, round(avg(p_retailprice) / (SELECT avg(p_retailprice) FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)) - 1, 9) AS error FROM part GROUP BY p_brand")
+def model_error(spark, d):
+    """AGG-17: measured against a reference rung."""
+    p = read(spark, d, "part")
+    mean = p.groupBy("p_brand").agg(F.avg("p_retailprice").alias("m"))
+    reference = mean.agg(F.min_by("m", "p_brand").alias("r"))
+    return mean.join(F.broadcast(reference)).select("p_brand", F.round(F.col("m") / F.col("r") - 1, 9).alias("error"))
+
+
+@query()
+def wrapped_subtitles(spark, d):
+    """PRJ-24, PRJ-44: texts wrapped to two rows of 40 columns (textwrap has no SQL form)."""
+    from .operators.encode import wrap
+
+    fold = F.pandas_udf(wrap, "array<string>")
+    return read(spark, d, "conversations").select("conv_id", "turn", fold("text").alias("rows"))
+
+
+@query()
+def ladder_search(spark, d):
+    """SRT-8, FLT-6: the first rung that fits, each rung measured by an aggregation at most once."""
+    from .plans.search import first_fit
+
+    orders = read(spark, d, "orders")
+    rung, verdicts = first_fit([10 * k for k in range(1, 36)], lambda limit: orders.where(F.col("o_totalprice") > limit * 1000).count() <= orders.count() // 2)
+    return spark.createDataFrame([(rung, k, v) for k, v in verdicts.items()], "rung long, asked long, fits boolean")

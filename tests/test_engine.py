@@ -139,3 +139,53 @@ def test_cues_and_readings(spark, tmp_path):
 def test_scalars_with_nulls(spark):
     row = spark.createDataFrame([(None, None)], "a double, b long").select(scalars.frame_count(F.col("a")).alias("x"), scalars.clock(F.col("a")).alias("y"), scalars.kept_share(F.lit(0), F.col("a")).alias("z")).first()
     assert row["x"] is None and row["y"] is None
+
+
+def test_controller_holds_a_budget(spark):
+    from tesserae.operators.encode import encode
+
+    rng = random.Random(5)
+    rows = [(s, f, list(range(6)), [float(rng.randint(0, 400)) for _ in range(6)]) for s in range(2) for f in range(60)]
+    df = spark.createDataFrame(rows, "scope long, frame long, slots array<long>, values array<double>")
+    for budget in (30, 0):
+        log = encode(df, 10.0, budget, 20).toPandas()
+        kept = log.groupby("scope").tile.nunique()
+        assert (kept <= 30).all() if budget else (kept > 100).all()
+    assert set(log[log.is_key].frame) == {0, 20, 40}
+
+
+def test_offsets_stay_in_banks(spark):
+    from tesserae.operators.encode import bank_offsets
+
+    rng = random.Random(6)
+    rows = [(1, f, rng.randint(0, 100)) for f in range(80)]
+    got = {r["frame"]: r["offset"] for r in bank_offsets(spark.createDataFrame(rows, "scope long, frame long, bytes long"), 128).collect()}
+    end = 0
+    for _, f, size in rows:
+        assert got[f] >= end and (not size or got[f] // 128 == (got[f] + size - 1) // 128)
+        end = got[f] + size
+
+
+def test_epochs_are_spaced():
+    from tesserae.operators.encode import epoch_starts
+
+    starts = epoch_starts([(k * 10, 0.9 if k % 7 == 0 else 0.1) for k in range(1, 60)], 600, 100, 40)
+    assert starts[0] == 0 and all(b - a >= 40 for a, b in zip(starts, starts[1:]))
+    assert epoch_starts([], 0, 10, 1) == []
+
+
+def test_movement_is_zero_for_still_slots(spark):
+    from tesserae.operators.encode import movement
+
+    px = spark.createDataFrame([(1, 0, [5, 9]), (1, 1, [5, 9]), (1, 2, [5, 32767])], "slot long, frame long, px array<int>")
+    got = {r["frame"]: r["moved"] for r in movement(px, colour.colour_grid(spark)).collect()}
+    assert got[1] == 0 and got[2] > 0.1
+
+
+def test_listing_sections(spark):
+    from tesserae.sources.listings import disassembly
+
+    lines = ["Disassembly of section .text:", "00000010 <main>:", "  10:\t4e 71 \tnop", "  12:\t30 3c \tmovew #1,%d0", "junk"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "id long, n long, line string")
+    got = [(r["section"], r["symbol"], r["address"], r["mnemonic"], r["operands"]) for r in disassembly(df, "id", "n", "line").orderBy("n").collect()]
+    assert got == [(".text", "main", "10", "nop", ""), (".text", "main", "12", "movew", "#1,%d0")]
