@@ -94,3 +94,17 @@ def tie_run(df: DataFrame, scope: str, position: str, error: str, eps: float = 1
     island = tied.withColumn("_run", F.sum((~F.col("_tied")).cast("long")).over(Window.partitionBy(scope).orderBy(position)))
     home = island.withColumn("_home", F.max(F.when(F.col(position) == F.col("_best"), F.col("_run"))).over(w))
     return home.where(F.col("_tied") & (F.col("_run") == F.col("_home"))).select(*df.columns)
+
+
+def epoch_slots(counts: DataFrame, epoch: str, value: str, weight: str, base: int, capacity: int) -> DataFrame:
+    """Slots of each epoch's heaviest values, ties to the smaller value: (epoch, value, weight, slot).
+
+    One epoch takes the whole capacity from `base`; of several, each takes half, and neighbours
+    alternate between the halves, so that a set can be loaded while the one before it shows.
+    """
+    several = counts.agg((F.countDistinct(epoch) > 1).alias("_several"))  # one row
+    place = F.row_number().over(Window.partitionBy(epoch).orderBy(F.desc(weight), F.asc(value))).cast("long") - 1
+    rows = counts.withColumn("_place", place).where(F.col("_place") < capacity).join(F.broadcast(several))
+    half = capacity // 2
+    slot = F.col("_place") + base + F.when(F.col("_several"), F.col(epoch) % 2 * half).otherwise(F.lit(0))
+    return rows.where(~F.col("_several") | (F.col("_place") < half)).select(epoch, value, weight, slot.alias("slot"))

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import colour, scalars
-from .operators import change, measure, ordered
-from .sources import stores
+from .operators import change, guards, measure, ordered
+from .sources import listings, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -702,3 +702,132 @@ def ladder_search(spark, d):
     orders = read(spark, d, "orders")
     rung, verdicts = first_fit([10 * k for k in range(1, 36)], lambda limit: orders.where(F.col("o_totalprice") > limit * 1000).count() <= orders.count() // 2)
     return spark.createDataFrame([(rung, k, v) for k, v in verdicts.items()], "rung long, asked long, fits boolean")
+
+
+# Guards, plans and small formats.
+
+RULES_SQL = "CASE WHEN NOT coalesce(l_quantity BETWEEN 1 AND 45, false) THEN 'quantity' WHEN NOT coalesce(l_discount <= 0.08, false) THEN 'discount' WHEN NOT coalesce(l_tax < 0.08, false) THEN 'tax' END"
+
+
+@query(f"SELECT rule, count(*) AS n FROM (SELECT {RULES_SQL} AS rule FROM lineitem) GROUP BY rule")
+def broken_guards(spark, d):
+    """FLT-10: rows by the first guard that they break."""
+    rules = {"quantity": F.col("l_quantity").between(1, 45), "discount": F.col("l_discount") <= 0.08, "tax": F.col("l_tax") < 0.08}
+    return read(spark, d, "lineitem").select(guards.broken_rule(rules).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT event_id, (round_even(event_id / 4.0::DOUBLE * 15625 / 264, 0))::BIGINT AS first, (round_even((event_id + 10) / 4.0::DOUBLE * 15625 / 264, 0))::BIGINT AS past,
+       least(1.0::DOUBLE, 15625.0::DOUBLE / 264 / (1 + event_id % 5) / 24) AS kept FROM events
+""")
+def cue_frames(spark, d):
+    """PRJ-26, PRJ-3: half-open frame spans of timed cues, halves to even; the share of pictures kept under a hold."""
+    frame = lambda at: scalars.whole(F.bround(at / 4.0 * 15625 / 264))
+    hold = 1 + F.col("event_id") % 5
+    return read(spark, d, "events").select("event_id", frame(F.col("event_id")).alias("first"), frame(F.col("event_id") + 10).alias("past"), scalars.kept_share(hold, F.lit(24)).alias("kept"))
+
+
+@query("SELECT event_id // 40 % 40 // 5 AS y, event_id % 40 // 5 AS x, event_id // 1600 AS picture, value FROM events WHERE event_id % 40 % 5 = 2 AND event_id // 40 % 40 % 5 = 2")
+def centre_samples(spark, d):
+    """PRJ-40: pictures of 40 x 40 values brought down five times, by the value in the middle of each cell."""
+    at = F.col("event_id")
+    x, y = at % 40, F.floor(at / 40) % 40
+    return read(spark, d, "events").where((x % 5 == 2) & (y % 5 == 2)).select(F.floor(y / 5).alias("y"), F.floor(x / 5).alias("x"), F.floor(at / 1600).alias("picture"), "value")
+
+
+@query("""
+SELECT event_type, CASE WHEN event_type LIKE 'click%' THEN 12 WHEN event_type LIKE 's%' THEN 8 WHEN event_type LIKE 'p%' THEN 10 ELSE 4 END::BIGINT AS cost, count(*) AS n,
+       sum(CASE WHEN event_type LIKE 'click%' THEN 12 WHEN event_type LIKE 's%' THEN 8 WHEN event_type LIKE 'p%' THEN 10 ELSE 4 END)::BIGINT AS total FROM events GROUP BY event_type
+""")
+def prefix_costs(spark, d):
+    """PRJ-41: the cost of the longest known prefix, a floor for the rest."""
+    cost = guards.by_prefix(F.col("event_type"), {"click": 12, "s": 8, "p": 10}, 4)
+    return read(spark, d, "events").select("event_type", cost.alias("cost")).groupBy("event_type", "cost").agg(F.count("*").alias("n"), F.sum("cost").alias("total"))
+
+
+@query("SELECT doc_id, strlen(text) + strlen(text) % 2 AS bytes, sha256(encode(text) || CASE WHEN strlen(text) % 2 = 1 THEN '\\x00'::BLOB ELSE ''::BLOB END) AS sha256 FROM documents")
+def artifact_parts(spark, d):
+    """SNK-1: parts padded to even lengths."""
+    blob = stores.even_blob(F.encode("text", "UTF-8"))
+    return read(spark, d, "documents").select("doc_id", F.octet_length(blob).cast("long").alias("bytes"), F.sha2(blob, 256).alias("sha256"))
+
+
+@query("""
+SELECT '{"frames":' || count(*) || ',"slots":' || count(DISTINCT user_id) || ',"contents":' || count(DISTINCT event_type) || ',"first":' || min(event_id) || ',"last":' || max(event_id) || ',"a_minute":' || count(*) * 60 // (1 + max(event_id) - min(event_id)) || '}' AS report FROM events
+""")
+def run_report(spark, d):
+    """SNK-11, CLI-2: a run's figures and projections as one JSON line."""
+    e = read(spark, d, "events").agg(F.count("*").alias("frames"), F.countDistinct("user_id").alias("slots"), F.countDistinct("event_type").alias("contents"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    return e.select(F.to_json(F.struct("frames", "slots", "contents", "first", "last", F.floor(F.col("frames") * 60 / (1 + F.col("last") - F.col("first"))).alias("a_minute"))).alias("report"))
+
+
+@query("""
+SELECT vec_id, string_agg(printf('%X%X', floor(embedding[y * 8 + 2 * p + 2] * 16)::BIGINT & 15, floor(embedding[y * 8 + 2 * p + 1] * 16)::BIGINT & 15), '' ORDER BY place, y) AS tile
+FROM embeddings, (VALUES (2, 0), (3, 1), (0, 2), (1, 3)) pairs(p, place), range(8) rows(y) WHERE len(embedding) = 64 GROUP BY vec_id
+""")
+def glyph_tiles(spark, d):
+    """SNK-16: 8 x 8 values of 4 bits packed in 32 bytes, by column pairs."""
+    nibbles = F.transform("embedding", lambda x: F.floor(x * 16).bitwiseAND(15))
+    return read(spark, d, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.hex(stores.glyph_tile(nibbles)).alias("tile"))
+
+
+@query("SELECT o_orderkey, CASE WHEN contains(o_orderpriority, 'URGENT') THEN replace(o_orderpriority, 'URGENT', 'NOW') END AS stamped FROM orders")
+def stamped_texts(spark, d):
+    """SNK-17: texts with the anchor replaced; those without it are told apart."""
+    return read(spark, d, "orders").select("o_orderkey", guards.replaced(F.col("o_orderpriority"), "URGENT", "NOW", strict=False).alias("stamped"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, place, event_id, value FROM e UNION ALL SELECT user_id, n + k, event_id, value FROM e, range(2) t(k) WHERE place = n - 1 AND k < user_id % 3
+""")
+def padded_runs(spark, d):
+    """SRC-5: runs short of at most two rows, filled by their last one."""
+    e = read(spark, d, "events").select("user_id", "event_id", "value")
+    wanted = e.withColumn("wanted", F.count("*").over(Window.partitionBy("user_id")) + F.col("user_id") % 3)
+    return guards.padded_tail(wanted, "user_id", "event_id", "wanted").select("user_id", "place", "event_id", "value")
+
+
+@query("""
+WITH n AS (SELECT event_id // 250 AS epoch, user_id AS colour, count(*) AS weight FROM events GROUP BY ALL), e AS (SELECT count(DISTINCT epoch) AS epochs FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY weight DESC, colour) - 1 AS place FROM n)
+SELECT epoch, colour, weight, 16 + place + CASE WHEN epochs > 1 THEN epoch % 2 * 8 ELSE 0 END AS slot FROM r, e WHERE place < CASE WHEN epochs > 1 THEN 8 ELSE 16 END
+""")
+def epoch_palettes(spark, d):
+    """AGG-9: an epoch's palette is its most frequent values; with several epochs half the slots each, in alternating halves."""
+    counts = read(spark, d, "events").groupBy(F.floor(F.col("event_id") / 250).alias("epoch"), F.col("user_id").alias("colour")).agg(F.count("*").alias("weight"))
+    return change.epoch_slots(counts, "epoch", "colour", "weight", base=16, capacity=16)
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_retailprice, p_partkey) - 1 AS place FROM part")
+def total_order(spark, d):
+    """SRT-1: places in an order of several keys with an explicit last tie-break, without one task for the order."""
+    return ordered.numbered(read(spark, d, "part"), "p_size", "place", "p_retailprice", "p_partkey").select("p_partkey", "place")
+
+
+@query("""
+WITH r AS (SELECT p_brand AS rung, sum(p_size)::BIGINT * 500 AS rate, avg(p_retailprice) AS error FROM part GROUP BY p_brand)
+SELECT rung, rate * 10 AS tiles, round(100.0 * rate * 10 / 1048576, 6) AS percent, round(1048576.0 / rate * 0.92, 6) AS minutes, 10 <= 1048576.0 / rate * 0.92 AS fits,
+       CASE WHEN 10 - 1048576.0 / rate * 0.92 <= 0 THEN 0 ELSE round(ceil((10 - 1048576.0 / rate * 0.92) * 60) / 60, 6) END::DOUBLE AS shortfall FROM r
+""")
+def ladder_plan(spark, d):
+    """CLI-3, CLI-4: what each rung takes of the capacity for a runtime of ten minutes, and what must be cut."""
+    rungs = read(spark, d, "part").groupBy(F.col("p_brand").alias("rung")).agg((F.sum("p_size") * 500).alias("rate"))
+    most, minutes = scalars.most_minutes(F.col("rate")), F.lit(10)
+    return rungs.select(
+        "rung", (F.col("rate") * 10).alias("tiles"), F.round(100.0 * F.col("rate") * 10 / scalars.CAPACITY, 6).alias("percent"), F.round(most * scalars.MARGIN, 6).alias("minutes"),
+        scalars.fits(minutes, most).alias("fits"), F.round(scalars.trim_minutes(minutes, most), 6).alias("shortfall"),
+    )
+
+
+@query("""
+WITH l AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT user_id, event_id, 's' || (n // 20) AS section, lower(to_hex(event_id)) AS address, event_type AS mnemonic, 'd' || (event_id % 8) AS operands FROM l WHERE n % 20 <> 0 AND n > 20
+""")
+def listing_sections(spark, d):
+    """SRC-16: instructions of listings with the section that they stand under."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    code = F.concat(F.lit("  "), F.lower(F.hex("event_id")), F.lit(":\t4e 71\t"), F.col("event_type"), F.lit("\td"), (F.col("event_id") % 8).cast("string"))
+    head = F.concat(F.lit("Disassembly of section s"), F.floor(F.col("n") / 20).cast("string"), F.lit(":"))
+    lines = read(spark, d, "events").select("user_id", "event_id", "event_type", n.alias("n")).select("user_id", "event_id", F.when(F.col("n") % 20 == 0, head).otherwise(code).alias("line"))
+    return listings.disassembly(lines, "user_id", "event_id", "line").where("section is not null").select("user_id", "event_id", "section", "address", "mnemonic", "operands")

@@ -43,3 +43,24 @@ def big_endian(value: Column, size: int) -> Column:
 
 def from_big_endian(blob: Column, at: int, size: int) -> Column:
     return F.conv(F.hex(F.substring(blob, at + 1, size)), 16, 10).cast("long")
+
+
+def even_blob(blob: Column) -> Column:
+    """blob with a zero byte after an odd length."""
+    return F.when(F.octet_length(blob) % 2 == 1, F.concat(blob, F.unhex(F.lit("00")))).otherwise(blob)
+
+
+def write_blobs(parts: DataFrame, name: str, blob: str, path: str) -> None:
+    """Named blobs, padded to even lengths, as a table under path; each task writes its own."""
+    parts.select(F.col(name).alias("name"), even_blob(F.col(blob)).alias("blob")).write.mode("overwrite").parquet(path)
+
+
+# Where each pair of pixel columns starts in a packed 8 x 8 tile.
+COLUMN_PAIRS = (16, 24, 0, 8)
+
+
+def glyph_tile(nibbles: Column) -> Column:
+    """64 values of 4 bits, row by row, as a tile of 32 bytes: column pairs one after another, the left pixel in the low half."""
+    pair = lambda at: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.concat(*(F.hex(F.element_at(nibbles, y * 8 + k).cast("long").bitwiseAND(15)) for k in (at + 2, at + 1))))
+    ordered = sorted(range(4), key=COLUMN_PAIRS.__getitem__)
+    return F.when(F.size(nibbles) == 64, F.unhex(F.concat_ws("", *(pair(2 * p) for p in ordered))))

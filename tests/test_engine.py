@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae import queries
 from tesserae.functions import colour, scalars
-from tesserae.operators import audio, change, measure, ordered
+from tesserae.operators import audio, change, guards, measure, ordered
 from tesserae.plans.search import first_fit
 from tesserae.sources import stores
 
@@ -189,3 +189,45 @@ def test_listing_sections(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "id long, n long, line string")
     got = [(r["section"], r["symbol"], r["address"], r["mnemonic"], r["operands"]) for r in disassembly(df, "id", "n", "line").orderBy("n").collect()]
     assert got == [(".text", "main", "10", "nop", ""), (".text", "main", "12", "movew", "#1,%d0")]
+
+
+def test_guards_name_the_first_broken_rule(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([(1, 2), (None, 2), (5, None)], "a long, b long")
+    rules = {"a": F.col("a") < 4, "b": F.col("b") > 0}
+    assert [r[0] for r in df.select(guards.broken_rule(rules)).collect()] == [None, "a", "a"]
+    assert guards.checked(df.limit(1), rules).count() == 1
+    with pytest.raises(PySparkException, match="row breaks rule: a"):
+        guards.checked(df, rules).collect()
+    with pytest.raises(PySparkException, match="no anchor"):
+        df.select(guards.replaced(F.lit("x"), "y", "z")).collect()
+    assert df.select(guards.by_prefix(F.lit("dbra"), {"d": 1, "db": 2}), guards.by_prefix(F.lit("x"), {}, 7), guards.by_prefix(F.lit(None).cast("string"), {"d": 1})).first()[:] == (2, 7, None)
+
+
+def test_tails_are_filled_or_refused(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([(1, 0, "a", 4), (1, 5, "b", 4), (2, 1, "c", 1)], "run long, at long, v string, wanted long")
+    assert sorted((r["run"], r["place"], r["v"]) for r in guards.padded_tail(df, "run", "at", "wanted").collect()) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "b"), (1, 3, "b"), (2, 0, "c")]
+    with pytest.raises(PySparkException, match="rows missing"):
+        guards.padded_tail(df.withColumn("wanted", F.lit(9).cast("long")), "run", "at", "wanted").collect()
+
+
+def test_options_are_refused():
+    assert guards.resolve_hold(3, 24.0) == 3 and guards.resolve_duration(2.0, None, 5.0) == 3.0
+    for wrong in (lambda: guards.resolve_hold(0, 24.0), lambda: guards.resolve_hold(2, 24.0), lambda: guards.resolve_duration(6.0, None, 5.0), lambda: guards.resolve_duration(0.0, -1.0, 5.0)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_chunks_and_blobs(spark, tmp_path):
+    from tesserae.streaming.chunks import chunked
+
+    parts = spark.createDataFrame([(f"p{i}", bytes(range(i))) for i in range(6)], "name string, blob binary").repartition(3)
+    stores.write_blobs(parts, "name", "blob", str(tmp_path / "t"))
+    stream = chunked(spark, str(tmp_path / "t"), "name string, blob binary", files=1)
+    run = stream.writeStream.format("memory").queryName("blobs_read").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    got = {r["name"]: bytes(r["blob"]) for r in spark.table("blobs_read").collect()}
+    assert got["p3"] == b"\x00\x01\x02\x00" and got["p4"] == b"\x00\x01\x02\x03" and len(got) == 6 and len(run.recentProgress) > 1
