@@ -432,7 +432,7 @@ SELECT doc_id, 3600 * (doc_id % 3) + 60 * (doc_id % 60) + doc_id % 59 + (doc_id
 FROM (SELECT doc_id, trim(regexp_extract(text, '^[A-Za-z]+')) AS s FROM documents) WHERE s <> ''
 """)
 def subtitle_cues(spark, d):
-    """SRC-11, PRJ-23: cues of subtitle texts."""
+    """SRC-11, PRJ-23: a cue of each text's first word, as its SQL has it; subtitle_cues_whole reads whole texts."""
     i = F.col("doc_id")
     stamp = F.format_string("%02d:%02d:%02d,%d", i % 3, i % 60, i % 59, i % 10)
     body = F.regexp_extract("text", "^[A-Za-z]+", 0)
@@ -440,6 +440,22 @@ def subtitle_cues(spark, d):
     return stores.cues(texts, "doc_id", "srt").select("doc_id", "start", "lines")
 
 
+@query("""
+WITH r AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS rs FROM documents),
+c AS (SELECT doc_id, rs, unnest(range((len(rs) + 1) // 2)) AS cue FROM r),
+l AS (SELECT doc_id, cue, list_filter(list_transform(rs[2 * cue + 1:2 * cue + 2], lambda x: trim(regexp_replace(x, '<[^>]+>|\\{[^}]*\\}', '', 'g'), ' ')), lambda x: x <> '') AS lines FROM c)
+SELECT doc_id, cue::INT AS cue, 2 * cue + (doc_id % 10) / 10 AS start, 2 * cue + 1 + (doc_id % 10) / 10 AS "end", lines FROM l WHERE len(lines) > 0
+""")
+def subtitle_cues_whole(spark, d):
+    """SRC-11, PRJ-23: cues of whole texts, every two lines a cue."""
+    part = lambda t: F.format_string("%02d:%02d:%02d,%d", F.floor(t / 3600), F.floor(t / 60) % 60, t % 60, F.col("doc_id") % 10)
+    block = lambda k: F.concat((k + 1).cast("string"), F.lit("\n"), part(k * 2), F.lit(" --> "), part(k * 2 + 1), F.lit("\n{i}"), F.array_join(F.slice("rows", k * 2 + 1, F.lit(2)), "\n"))
+    rows = F.filter(F.transform(F.split("text", r"\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    texts = read(spark, d, "documents").select("doc_id", rows.alias("rows")).where(F.size("rows") > 0)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / 2).cast("int")), block)
+    return stores.cues(texts.select("doc_id", F.concat(F.array_join(blocks, "\n\n"), F.lit("\n\nnothing timed")).alias("srt")), "doc_id", "srt")
+
+
 @query("SELECT event_id, list_transform(regexp_extract_all(props, '\"k\": (-?\\d+)', 1), lambda x: x::DOUBLE) AS found, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
 def printed_metadata(spark, d):
     """SRC-10, SRC-2: values read from prints and JSON."""

@@ -231,3 +231,10 @@ def test_chunks_and_blobs(spark, tmp_path):
     run.awaitTermination(60)
     got = {r["name"]: bytes(r["blob"]) for r in spark.table("blobs_read").collect()}
     assert got["p3"] == b"\x00\x01\x02\x00" and got["p4"] == b"\x00\x01\x02\x03" and len(got) == 6 and len(run.recentProgress) > 1
+
+
+def test_cues_of_whole_texts(spark, tmp_path):
+    rows = [(3, "Été a < b\ntwo <b>lines</b>\n \nthird {x}1\r\n\n\n<i></i>\n<i></i>\n{y}\n7 last"), (4, "\n 9 zero"), (5, ""), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["subtitle_cues_whole"](spark, str(tmp_path)).orderBy("doc_id", "cue").collect()
+    assert [tuple(r) for r in got] == [(3, 0, 0.3, 1.3, ["Été a < b", "two lines"]), (3, 1, 2.3, 3.3, ["third 1"]), (3, 3, 6.3, 7.3, ["7 last"]), (4, 0, 0.4, 1.4, ["9 zero"])]
