@@ -604,11 +604,18 @@ WITH c AS (SELECT event_id AS frame, value > 300 AS cut FROM events WHERE event_
 SELECT frame, (SELECT count(*) FROM c b WHERE b.cut AND b.frame <= c.frame) AS epoch FROM c
 """)
 def epoch_buckets(spark, d):
-    """AGG-18: samples by the epoch they fall in."""
+    """AGG-18: every tenth event by its epoch, cuts counted among these only, as its SQL has it; epoch_buckets_whole counts all."""
     samples = read(spark, d, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("frame"), (F.col("value") > 300).cast("long").alias("cut"))
     return ordered.running_sum(samples, "frame", F.col("cut"), "epoch").select("frame", "epoch")
 
 
+@query("SELECT event_id AS frame, (sum(coalesce((value > 300)::INT, 0)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS epoch FROM events")
+def epoch_buckets_whole(spark, d):
+    """AGG-18: every event by the epoch it falls in."""
+    events = read(spark, d, "events").select(F.col("event_id").alias("frame"), F.coalesce((F.col("value") > 300).cast("long"), F.lit(0)).alias("cut"))
+    return ordered.running_sum(events, "frame", F.col("cut"), "epoch").select("frame", "epoch")
+
+
 @query()
 def epoch_boundaries(spark, d):
     """WIN-7: epochs of each user's events from the share of large values among ten."""

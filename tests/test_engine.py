@@ -238,3 +238,10 @@ def test_cues_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.QUERIES["subtitle_cues_whole"](spark, str(tmp_path)).orderBy("doc_id", "cue").collect()
     assert [tuple(r) for r in got] == [(3, 0, 0.3, 1.3, ["Été a < b", "two lines"]), (3, 1, 2.3, 3.3, ["third 1"]), (3, 3, 6.3, 7.3, ["7 last"]), (4, 0, 0.4, 1.4, ["9 zero"])]
+
+
+def test_epochs_count_every_cut(spark, tmp_path):
+    rows = [(i, 400.0 if i % 10 == 3 else 1.0 if i else None) for i in range(95)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["frame"]: r["epoch"] for r in queries.QUERIES["epoch_buckets_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (i + 7) // 10 for i in range(95)}
