@@ -72,26 +72,6 @@ def rescale(cost: Column, anchors: dict[float, float]) -> Column:
     return out
 
 
-def weighted_kmeans(points: DataFrame, vector: str, weight: Column, k: int, rounds: int = 24, tolerance: float = 1e-8) -> list[list[float]]:
-    """Lloyd's algorithm from the k heaviest distinct points; each round is one aggregation, empty clusters keep their centre."""
-    width = len(points.select(vector).first()[0])
-    start = points.withColumn("_w", weight).groupBy(vector).agg(F.sum("_w").alias("_w")).orderBy(F.desc("_w"), vector).limit(k).collect()
-    centres = [[float(x) for x in r[vector]] for r in start]
-    for _ in range(rounds):
-        grid = F.array(*(F.array(*(F.lit(x) for x in c)) for c in centres))
-        distances = F.transform(grid, lambda c: F.aggregate(F.zip_with(vector, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-        label = points.withColumn("_w", weight).withColumn("_d", distances).withColumn("_c", F.array_position("_d", F.array_min("_d")))
-        sums = label.groupBy("_c").agg(F.sum("_w").alias("_w"), *(F.sum(F.col(vector)[i] * F.col("_w")).alias(f"_{i}") for i in range(width))).collect()
-        new = [list(c) for c in centres]
-        for r in sums:
-            new[r["_c"] - 1] = [r[f"_{i}"] / r["_w"] for i in range(width)]
-        moved = max((abs(a - b) for x, y in zip(new, centres, strict=True) for a, b in zip(x, y, strict=True)), default=0.0)
-        centres = new
-        if moved <= tolerance:
-            break
-    return centres
-
-
 def thin(df: DataFrame, ident: str, most: int, seed: int = 5) -> DataFrame:
     """Exactly `most` rows, those of the smallest seeded hashes."""
     return df.orderBy(F.xxhash64(F.lit(seed), ident), ident).limit(most)

@@ -300,10 +300,11 @@ def tile_descriptor(spark, d):
 
 @query()
 def palette_kmeans(spark, d):
-    """AGG-5, AGG-6, AGG-7: weighted Lloyd from the heaviest points."""
-    points = read(spark, d, "embeddings").select(F.transform(F.slice("embedding", 1, 3), lambda x: F.floor(x.cast("double") * 64).cast("double")).alias("v"))
-    centres = measure.weighted_kmeans(points, "v", F.lit(1.0), 15)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "centre int, colors array<double>")
+    """AGG-5, AGG-6, AGG-7: vectors as tiles of 64 colours, clustered by descriptor, a palette of 15 real colours for each cluster."""
+    from .operators.palettes import palette_set
+
+    colours = F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) * 16384), F.lit(0)), F.lit(32767)).cast("int"))
+    return palette_set(read(spark, d, "embeddings").select(colours.alias("px")), colour.colour_grid(spark), 4, 16, 5)
 
 
 # Functions.

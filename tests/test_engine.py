@@ -245,3 +245,35 @@ def test_epochs_count_every_cut(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = {r["frame"]: r["epoch"] for r in queries.QUERIES["epoch_buckets_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: (i + 7) // 10 for i in range(95)}
+
+
+def test_palettes_are_fitted_for_each_cluster(spark):
+    from tesserae.operators.palettes import palette_set
+
+    few, many = [5, 9, 31], list(range(32000, 32064))
+    tiles = spark.createDataFrame([([few[(i + j) % 3] for j in range(64)],) for i in range(3)] + [(many,)] * 3 + [([],), (None,)], "px array<int>")
+    grid = colour.colour_grid(spark)
+    for count in (2, 9):
+        got = {r["palette"]: r for r in palette_set(tiles, grid, count, 16, 5).collect()}
+        assert sorted(got) == list(range(count)) and [got[k]["bank"] for k in sorted(got)] == list(range(16, 16 + count))
+        assert all(len(r["colors"]) == 15 and len(r["descriptor"]) == 9 for r in got.values())
+        found = [set(r["colors"]) for r in got.values()]
+        assert all(x <= set(few + many) for x in found)
+        assert any(r["colors"] == few * 5 for r in got.values()) and any(x <= set(many) and len(x) > 3 for x in found)
+        assert count == 2 or any(x & set(few) and x & set(many) for x in found)  # a cluster without tiles takes all tiles
+    with pytest.raises(ValueError, match="banks"):
+        palette_set(tiles, grid, 4, 253, 5)
+    with pytest.raises(ValueError, match="no tiles"):
+        palette_set(tiles.where("size(px) = 0"), grid, 4, 16, 5)
+
+
+def test_palette_fit_reseeds_lost_centres():
+    import numpy as np
+
+    from tesserae.operators.palettes import fit
+
+    # Fifteen frequent colours share one point; without reseeding fourteen centres stay on it and the rest is one centre.
+    lab = np.zeros((32, 3))
+    lab[15:] = np.arange(17)[:, None] * 10.0 + 100
+    chosen = fit(np.arange(32), np.where(np.arange(32) < 15, 9, 1), lab, 5)
+    assert len(chosen) == 15 and len({tuple(lab[c]) for c in chosen}) > 5
