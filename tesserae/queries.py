@@ -568,16 +568,29 @@ def bounded_reach(spark, d):
 # Folds with feedback, schedules and listings.
 
 
-@query()
-def budgeted_encode(spark, d):
-    """STF-1, STF-2, STF-4, FLT-3: users as sources, runs of eight events as frames, under a budget of distinct values."""
-    from .operators.encode import encode
-
+def _user_frames(spark, d):
+    """Users as scopes, runs of eight events as frames."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     cells = read(spark, d, "events").select("user_id", "event_id", "value").withColumn("n", F.row_number().over(w) - 1)
     cell = F.array_sort(F.collect_list(F.struct((F.col("n") % 8).cast("long").alias("s"), F.round("value").alias("v"))))
     frames = cells.groupBy(F.col("user_id").alias("scope"), F.floor(F.col("n") / 8).alias("frame")).agg(cell.alias("c"))
-    return encode(frames.select("scope", "frame", F.col("c.s").alias("slots"), F.col("c.v").alias("values")), 20.0, 40, 6)
+    return frames.select("scope", "frame", F.col("c.s").alias("slots"), F.col("c.v").alias("values"))
+
+
+@query()
+def budgeted_encode(spark, d):
+    """STF-1, STF-2, STF-4: users as sources, runs of eight events as frames, under a budget of distinct values."""
+    from .operators.encode import encode
+
+    return encode(_user_frames(spark, d), 20.0, 40, 6)
+
+
+@query()
+def masked_encode(spark, d):
+    """FLT-3: as budgeted_encode, with the tolerance of each slot raised by its movement."""
+    from .operators.encode import encode
+
+    return encode(_user_frames(spark, d), 20.0, 40, 6, masking=1.0)
 
 
 @query()

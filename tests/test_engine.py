@@ -277,3 +277,21 @@ def test_palette_fit_reseeds_lost_centres():
     lab[15:] = np.arange(17)[:, None] * 10.0 + 100
     chosen = fit(np.arange(32), np.where(np.arange(32) < 15, 9, 1), lab, 5)
     assert len(chosen) == 15 and len({tuple(lab[c]) for c in chosen}) > 5
+
+
+def test_masking_leaves_moving_slots_pending(spark):
+    from tesserae.operators.encode import encode
+
+    # Slot 0 moves by 50 and then stands still; slot 1 drifts by less than the tolerance a frame.
+    rows = [(1, f, [0, 1], [v, 8.0 * f]) for f, v in enumerate([0.0, 50.0, 50.0, 50.0])]
+    df = spark.createDataFrame(rows, "scope long, frame long, slots array<long>, values array<double>")
+    got = {m: sorted((r["frame"], r["slot"], r["value"]) for r in encode(df, 10.0, 0, 100, m).collect() if not r["is_key"]) for m in (0.0, 1.0)}
+    assert got[0.0] == [(1, 0, 50.0), (2, 1, 16.0)]
+    assert got[1.0] == [(2, 0, 50.0), (3, 1, 24.0)]
+
+
+def test_masked_query_waits_for_still_slots(spark, tmp_path):
+    rows = [(i, 1, v) for i, v in enumerate([0.0] * 8 + [50.0] * 16)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    changed = {q: {r["frame"] for r in queries.QUERIES[q](spark, str(tmp_path)).collect() if not r["is_key"]} for q in ("budgeted_encode", "masked_encode")}
+    assert changed == {"budgeted_encode": {1}, "masked_encode": {2}}
