@@ -488,19 +488,43 @@ def content_keys(spark, d):
 
 @query("SELECT vec_id, list_sum(list_transform(range(16), lambda i: ((floor(embedding[i + 1]::DOUBLE * 64)::BIGINT + 1024) % 16 & 1) << i))::BIGINT AS plane0, list_sum(list_transform(range(16), lambda i: (((floor(embedding[i + 1]::DOUBLE * 64)::BIGINT + 1024) % 16 >> 3) & 1) << i))::BIGINT AS plane3 FROM embeddings")
 def bit_planes(spark, d):
-    """PRJ-14, PRJ-19: planes of 4-bit values."""
+    """PRJ-14, PRJ-19: two planes of the first 16 values, as its SQL has it; bit_planes_whole gives all planes of all values."""
     nibbles = F.transform(F.slice("embedding", 1, 16), lambda x: (F.floor(x.cast("double") * 64) + 1024) % 16)
     return read(spark, d, "embeddings").select("vec_id", scalars.planes(nibbles, 0).alias("plane0"), scalars.planes(nibbles, 3).alias("plane3"))
 
 
+@query(f"""
+WITH n AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: (floor(x::DOUBLE * 64)::BIGINT + 1024) % 16)) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+b AS (SELECT *, CASE WHEN i % 64 = 63 THEN (-9223372036854775808)::HUGEINT ELSE (1::HUGEINT << (i % 64)::HUGEINT) END AS bit FROM n),
+w AS (SELECT vec_id, i // 64 AS w, {", ".join(f"sum(bit * ((v >> {k}) & 1))::BIGINT AS p{k}" for k in range(4))} FROM b GROUP BY ALL)
+SELECT vec_id, {", ".join(f"list(p{k} ORDER BY w) AS plane{k}" for k in range(4))} FROM w GROUP BY vec_id
+""")
+def bit_planes_whole(spark, d):
+    """PRJ-14, PRJ-19: the four planes of all values, a word for every 64."""
+    e = read(spark, d, "embeddings").where(F.size("embedding") > 0)
+    e = e.select("vec_id", F.transform("embedding", lambda x: (F.floor(x.cast("double") * 64) + 1024) % 16).alias("nibbles"))
+    words = F.sequence(F.lit(0), F.floor((F.size("nibbles") - 1) / 64).cast("int"))
+    plane = lambda k: F.transform(words, lambda w: scalars.planes(F.slice("nibbles", w * 64 + 1, F.lit(64)), k))
+    return e.select("vec_id", *(plane(k).alias(f"plane{k}") for k in range(4)))
+
+
 @query("SELECT vec_id, i // 4 AS tile, list(v ORDER BY i) AS px FROM (SELECT vec_id, unnest(range(16)) AS i, unnest(list_transform(embedding[1:16], lambda x: floor(x::DOUBLE * 64)::BIGINT)) AS v FROM embeddings) GROUP BY vec_id, i // 4")
 def tile_split(spark, d):
-    """PRJ-11, PRJ-21: a row of cells in tiles."""
+    """PRJ-11: the first 16 cells in tiles, as its SQL has it; tile_split_whole splits all."""
     px = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64))
     tiles = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.slice(px, t * 4 + 1, F.lit(4)))
     return read(spark, d, "embeddings").select("vec_id", F.posexplode(tiles).alias("tile", "px")).withColumn("tile", F.col("tile").cast("long"))
 
 
+@query("SELECT vec_id, i // 4 AS tile, list(v ORDER BY i) AS px FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT)) AS v FROM embeddings) GROUP BY vec_id, i // 4")
+def tile_split_whole(spark, d):
+    """PRJ-11: all cells in tiles of four, the last one shorter if need be."""
+    e = read(spark, d, "embeddings").where(F.size("embedding") > 0)
+    e = e.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("cells"))
+    tiles = F.transform(F.sequence(F.lit(0), F.floor((F.size("cells") - 1) / 4).cast("int")), lambda t: F.slice("cells", t * 4 + 1, F.lit(4)))
+    return e.select("vec_id", F.posexplode(tiles).alias("tile", "px")).withColumn("tile", F.col("tile").cast("long"))
+
+
 @query("SELECT event_id FROM events WHERE event_id % 7 = 0")
 def strided_sample(spark, d):
     """SRC-7: every seventh frame."""
@@ -700,11 +724,20 @@ def archive_listing(spark, d):
 
 @query("SELECT vec_id, list_transform(range(16), lambda i: CASE WHEN i % 2 = 0 THEN floor(embedding[i // 2 + 1]::DOUBLE * 64) ELSE floor(embedding[i // 2 + 9]::DOUBLE * 64) END::BIGINT) AS woven FROM embeddings")
 def interleave(spark, d):
-    """SNK-6, SNK-12: two halves woven element by element."""
+    """SNK-6, SNK-12: components 1-8 and 9-16 woven, as its SQL has it; interleave_whole weaves the halves of the whole."""
     half = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: F.floor(x.cast("double") * 64))
     return read(spark, d, "embeddings").select("vec_id", F.flatten(F.zip_with(half(1), half(9), lambda a, b: F.array(a, b))).alias("woven"))
 
 
+@query("SELECT vec_id, list_transform(range((len(embedding) + 1) // 2 * 2), lambda i: coalesce(floor(embedding[CASE WHEN i % 2 = 0 THEN i // 2 + 1 ELSE i // 2 + 1 + (len(embedding) + 1) // 2 END]::DOUBLE * 64)::BIGINT, 0)) AS woven FROM embeddings")
+def interleave_whole(spark, d):
+    """SNK-6, SNK-12: the two halves of the whole woven element by element, an odd end padded with 0."""
+    cells = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64))
+    e = read(spark, d, "embeddings").select("vec_id", cells.alias("cells"), F.floor((F.size("embedding") + 1) / 2).cast("int").alias("half"))
+    halves = F.zip_with(F.slice("cells", F.lit(1), F.col("half")), F.slice("cells", F.col("half") + 1, F.col("half")), lambda a, b: F.array(a, F.coalesce(b, F.lit(0))))
+    return e.select("vec_id", F.flatten(halves).alias("woven"))
+
+
 @query("SELECT 'a' AS part, event_id AS frame, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events WHERE event_id BETWEEN 100 AND 199 UNION ALL SELECT 'b', event_id, 100 + row_number() OVER (ORDER BY event_id) - 1 FROM events WHERE event_id BETWEEN 700 AND 749")
 def joined_windows(spark, d):
     """SET-1, SRT-6: clips end to end with new frame numbers."""

@@ -295,3 +295,16 @@ def test_masked_query_waits_for_still_slots(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
     changed = {q: {r["frame"] for r in queries.QUERIES[q](spark, str(tmp_path)).collect() if not r["is_key"]} for q in ("budgeted_encode", "masked_encode")}
     assert changed == {"budgeted_encode": {1}, "masked_encode": {2}}
+
+
+def test_vectors_are_used_whole(spark, tmp_path):
+    cells = [(i * 5) % 16 for i in range(67)]
+    spark.createDataFrame([(1, [c / 64 for c in cells])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path))
+    row = run("bit_planes_whole").first()
+    words = [[row[f"plane{k}"][w] % 2**64 for k in range(4)] for w in range(2)]
+    assert [sum((words[i // 64][k] >> i % 64 & 1) << k for k in range(4)) for i in range(67)] == cells
+    tiles = [list(r["px"]) for r in run("tile_split_whole").orderBy("tile").collect()]
+    assert len(tiles) == 17 and sum(tiles, []) == cells
+    woven = run("interleave_whole").first()["woven"]
+    assert woven[::2] + woven[1::2] == [*cells, 0]
