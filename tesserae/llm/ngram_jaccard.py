@@ -23,8 +23,8 @@ document that links lead to.
    with a cluster.
 
 Nulls, empty texts and texts without a word have the empty set: n_shingles 0, linked with nothing. A
-null doc_id gives a row with a null component unless a copy of its text has an id. Repeated rows give
-repeated result rows. Other columns are ignored, whatever their names.
+text without doc_id links others as any does, but names no component: a component without any doc_id is
+null. Repeated rows give repeated result rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, lean, local_roots, partitions, saved, small_batches
-from .repeats import BLOCK, FLUSH, batch, beside, bucket_of, cut, deltas, expand, home, reply, squeeze, texts, together, undo
+from .repeats import BLOCK, FLUSH, batch, beside, bucket_of, cut, deltas, expand, home, ids, reply, squeeze, texts, together, undo
 from .textkit import Spans, mix, slices, word_hashes
 
 SKETCH_BITS = 18
@@ -105,8 +105,9 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
 def _summary(width: int):
     def run(batches):
         for batch in batches:
+            at = ids(batch.column(0), batch.column(1))
             for a, b, grams, bounds in _texts(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(bounds)), pa.array(digests(grams, bounds))], ["doc_id", "n", "class"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(at[a:b]), pa.array(np.diff(bounds)), pa.array(digests(grams, bounds))], ["doc_id", "at", "n", "class"])
 
     return run
 
@@ -452,12 +453,12 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     docs = docs.select("doc_id", "text")
     p = partitions(spark)
     levels = spark.sparkContext.broadcast(rarity(docs, width))  # 256 KB at any size
-    stats = saved(docs.mapInArrow(lean(_summary(width)), "doc_id long, n long, class long"))
+    stats = saved(docs.mapInArrow(lean(_summary(width)), "doc_id long, at long, n long, class long"))
     lists = "bucket int, keys binary, classes binary, sizes binary"
     postings = docs.select("text").mapInArrow(lean(_postings(width, num, den, levels, p)), lists)
     met = postings.repartitionById(p, "bucket").mapInArrow(lean(_lists(num, den, p)), BLOCK).repartitionById(p, "part").mapInArrow(lean(_often()), "class long")
-    classes = stats.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    members = classes.join(met, "class").where("rep is not null").select("rep", "class").mapInArrow(lean(_member_blocks(p)), BLOCK)
+    classes = stats.where("class <> 0").groupBy("class").agg(F.min("at").alias("rep"), F.min("doc_id").alias("doc"), F.first("n").alias("n"))
+    members = classes.join(met, "class").select("rep", "class").mapInArrow(lean(_member_blocks(p)), BLOCK)
     sets = together(members, docs.mapInArrow(lean(texts(p)), BLOCK), p).mapInArrow(lean(beside(_member_sets(width, p), U)), BLOCK)
     sets = saved(sets)
     counts = sets.mapInArrow(lean(_gram_marks(p)), BLOCK).repartitionById(p, "part").mapInArrow(lean(_counts(p)), BLOCK)
@@ -472,8 +473,8 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
         found = connected(links)
     else:
         found = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    roots = classes.join(found, classes["class"] == found["node"], "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
+    roots = classes.join(found, classes["class"] == found["node"], "left").select("class", "doc", F.coalesce("root", "class").alias("root"))
     # A class no search has joined is its own root.
-    smallest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    smallest = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
     labels = roots.join(smallest, "root").select("class", "component_id")
     return stats.join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -320,3 +320,15 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == sizes[3]
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "length", "ids_crc32").collect()))
+
+
+def test_ngram_jaccard_links_through_texts_without_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    # Neighbours share 56 of 68 pairs or more; the outer two only 48 of 75.
+    first, bridge, last = (" ".join(words[k : k + 61]) for k in (0, 7, 14))
+    lone = " ".join(f"z{i}" for i in range(60))
+    df = spark.createDataFrame([(7, first), (None, bridge), (3, last), (None, lone), (None, None)], "doc_id long, text string")
+    got = ngram_jaccard.ngram_jaccard(df, 2, 75, 100).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == [("3", "3"), ("7", "3"), ("None", "3"), ("None", "None"), ("None", "None")]
+    apart = ngram_jaccard.ngram_jaccard(df.where("doc_id is not null"), 2, 75, 100).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in apart) == [(3, 3), (7, 7)]
