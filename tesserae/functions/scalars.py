@@ -171,3 +171,8 @@ def content_key(head: Column, size: Column, params: Column, version: int = 1) ->
 def planes(nibbles: Column, plane: int) -> Column:
     """One bit plane of an array of 4-bit values, the first value in the lowest bit."""
     return F.aggregate(F.transform(nibbles, lambda v, i: F.call_function("shiftleft", F.shiftright(v, plane).bitwiseAND(1).cast("long"), i.cast("int"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def rendered(nibbles: Column, colours: Column) -> Column:
+    """Colours of 4-bit values that count a palette's colours from 1; null for others."""
+    return F.transform(nibbles, lambda n: F.when(n.between(1, F.size(colours)), F.get(colours, n.cast("int") - 1)))

@@ -181,7 +181,7 @@ def interval_lookup(spark, d):
 
 @query("SELECT count(*) AS n, min(s) AS least, max(e) AS most FROM (SELECT greatest(event_id, 100) AS s, least(event_id + 200, 5100) AS e FROM events WHERE event_id + 200 > 100 AND event_id < 5100)")
 def window_overlap(spark, d):
-    """FLT-9, SNK-8: cues clipped to a window."""
+    """FLT-9: cues clipped to a window; cue_records also rebases and encodes them."""
     e = read(spark, d, "events").select("event_id").where("event_id + 200 > 100 AND event_id < 5100")
     return e.select(F.greatest("event_id", F.lit(100)).alias("s"), F.least(F.col("event_id") + 200, F.lit(5100)).alias("e")).agg(F.count("*").alias("n"), F.min("s").alias("least"), F.max("e").alias("most"))
 
@@ -423,7 +423,7 @@ WITH t AS (SELECT conv_id, turn, text AS line FROM conversations)
 SELECT conv_id, turn, trim(regexp_replace(line, '<[^>]+>|\\{[^}]*\\}', '', 'g'), ' ') AS plain, rpad(repeat(' ', ((40 - length(line[:40])) // 2)::INT) || line[:40], 40, ' ') AS centred FROM t
 """)
 def subtitle_rows(spark, d):
-    """PRJ-25, SRC-11: markup stripped, rows centred on 40 columns."""
+    """SRC-11: markup stripped, rows centred on 40 columns; glyphs are in cue_records."""
     t = read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("line"))
     return t.select("conv_id", "turn", scalars.strip_markup(F.col("line")).alias("plain"), scalars.centred(F.col("line")).alias("centred"))
 
@@ -441,6 +441,16 @@ def subtitle_cues(spark, d):
     return stores.cues(texts, "doc_id", "srt").select("doc_id", "start", "lines")
 
 
+def _subtitle_texts(spark, d):
+    """Whole documents as SubRip texts, every two lines a cue."""
+    part = lambda t: F.format_string("%02d:%02d:%02d,%d", F.floor(t / 3600), F.floor(t / 60) % 60, t % 60, F.col("doc_id") % 10)
+    block = lambda k: F.concat((k + 1).cast("string"), F.lit("\n"), part(k * 2), F.lit(" --> "), part(k * 2 + 1), F.lit("\n{i}"), F.array_join(F.slice("rows", k * 2 + 1, F.lit(2)), "\n"))
+    rows = F.filter(F.transform(F.split("text", r"\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    texts = read(spark, d, "documents").select("doc_id", rows.alias("rows")).where(F.size("rows") > 0)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / 2).cast("int")), block)
+    return texts.select("doc_id", F.concat(F.array_join(blocks, "\n\n"), F.lit("\n\nnothing timed")).alias("srt"))
+
+
 @query("""
 WITH r AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS rs FROM documents),
 c AS (SELECT doc_id, rs, unnest(range((len(rs) + 1) // 2)) AS cue FROM r),
@@ -449,12 +459,15 @@ SELECT doc_id, cue::INT AS cue, 2 * cue + (doc_id % 10) / 10 AS start, 2 * cue +
 """)
 def subtitle_cues_whole(spark, d):
     """SRC-11, PRJ-23: cues of whole texts, every two lines a cue."""
-    part = lambda t: F.format_string("%02d:%02d:%02d,%d", F.floor(t / 3600), F.floor(t / 60) % 60, t % 60, F.col("doc_id") % 10)
-    block = lambda k: F.concat((k + 1).cast("string"), F.lit("\n"), part(k * 2), F.lit(" --> "), part(k * 2 + 1), F.lit("\n{i}"), F.array_join(F.slice("rows", k * 2 + 1, F.lit(2)), "\n"))
-    rows = F.filter(F.transform(F.split("text", r"\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    texts = read(spark, d, "documents").select("doc_id", rows.alias("rows")).where(F.size("rows") > 0)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / 2).cast("int")), block)
-    return stores.cues(texts.select("doc_id", F.concat(F.array_join(blocks, "\n\n"), F.lit("\n\nnothing timed")).alias("srt")), "doc_id", "srt")
+    return stores.cues(_subtitle_texts(spark, d), "doc_id", "srt")
+
+
+@query()
+def cue_records(spark, d):
+    """PRJ-25, PRJ-44, SNK-8: the cues of whole texts from second 1 on as records of 88 bytes."""
+    from .sources.cues import cue_records as records
+
+    return records(stores.cues(_subtitle_texts(spark, d), "doc_id", "srt"), "doc_id", 1.0, 36000.0)
 
 
 @query("SELECT event_id, list_transform(regexp_extract_all(props, '\"k\": (-?\\d+)', 1), lambda x: x::DOUBLE) AS found, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
@@ -676,21 +689,54 @@ def cursor_seek(spark, d):
     return seek(events.select(F.col("event_id").alias("target")), "target", events.where("event_id % 90 = 0"), "event_id").select("target", "landed", "position")
 
 
+def _slot_pixels(spark, d):
+    k = F.col("c_custkey")
+    return read(spark, d, "customer").select((k % 20).alias("slot"), k.alias("frame"), F.array((k * 7919) % 32768, (F.col("c_nationkey").cast("long") * 1031) % 32768, (k * 131) % 32768).alias("px"))
+
+
 @query("""
 WITH px AS (SELECT c_custkey % 20 AS slot, c_custkey AS frame, unnest([c_custkey * 7919 % 32768, c_nationkey * 1031 % 32768, c_custkey * 131 % 32768]) AS c, generate_subscripts([1, 2, 3], 1) AS i FROM customer),
 p AS (SELECT slot, frame, i, c, lag(c) OVER (PARTITION BY slot, i ORDER BY frame) AS o FROM px)
 SELECT slot, frame, count(*) AS cells, count(*) FILTER (c <> o) AS changed FROM p WHERE o IS NOT NULL GROUP BY slot, frame
 """)
 def slot_movement(spark, d):
-    """PRJ-13, FLT-4, AGG-10: compared cells and changed ones; the metric itself is tested on its own."""
-    k = F.col("c_custkey")
-    px = read(spark, d, "customer").select((k % 20).alias("slot"), k.alias("frame"), F.array((k * 7919) % 32768, (F.col("c_nationkey").cast("long") * 1031) % 32768, (k * 131) % 32768).alias("px"))
+    """FLT-4: compared cells and changed ones; slot_movement_metric has the colour metric, displayed_error what is shown."""
+    px = _slot_pixels(spark, d)
     w = Window.partitionBy("slot").orderBy("frame")
     pair = px.withColumn("old", F.lag("px").over(w)).where("old is not null")
     differ = F.size(F.filter(F.zip_with("px", "old", lambda a, b: a != b), lambda x: x))
     return pair.select("slot", "frame", F.size("px").cast("long").alias("cells"), differ.cast("long").alias("changed"))
 
 
+@query()
+def slot_movement_metric(spark, d):
+    """PRJ-13: movement of each slot in the colour metric."""
+    from .operators.encode import movement
+
+    return movement(_slot_pixels(spark, d), colour.colour_grid(spark))
+
+
+@query()
+def displayed_error(spark, d):
+    """AGG-10: what budgeted_encode shows against the true frames."""
+    from .operators.encode import displayed_error as error
+    from .operators.encode import encode
+
+    frames = _user_frames(spark, d)
+    return error(frames, encode(frames, 20.0, 40, 6))
+
+
+@query()
+def rendered_tiles(spark, d):
+    """PRJ-21: vectors in the nearest of the 15 most frequent values of their label, through 4-bit values."""
+    cells = F.transform("embedding", lambda x: F.floor(x.cast("double") * 16)).alias("cells")
+    palettes = frequent_values(spark, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("most"), "color"))).alias("p")).select("label", F.col("p.color").alias("colors"))
+    gaps = lambda c: F.transform("colors", lambda x: F.abs(x - c))
+    tiles = read(spark, d, "embeddings").select("vec_id", "label", cells).join(palettes, "label")
+    tiles = tiles.withColumn("nibbles", F.transform("cells", lambda c: F.array_position(gaps(c), F.array_min(gaps(c)))))
+    return tiles.select("vec_id", "nibbles", scalars.rendered(F.col("nibbles"), F.col("colors")).alias("px"))
+
+
 @query("SELECT o_orderstatus AS source, count(*) FILTER (o_custkey % 3 = 0) > count(*) FILTER (o_custkey % 3 <> 0) AS interlaced, arg_max(o_custkey || ':' || o_orderkey || ':0:0', o_orderkey) FILTER (o_custkey % 5 = 0) AS crop FROM orders GROUP BY o_orderstatus")
 def source_analysis(spark, d):
     """SRC-3, SRC-4: verdict and last crop from log lines."""
@@ -757,7 +803,7 @@ def model_error(spark, d):
 
 @query()
 def wrapped_subtitles(spark, d):
-    """PRJ-24, PRJ-44: texts wrapped to two rows of 40 columns (textwrap has no SQL form)."""
+    """PRJ-24: texts wrapped to two rows of 40 columns (textwrap has no SQL form)."""
     from .operators.encode import wrap
 
     fold = F.pandas_udf(wrap, "array<string>")

@@ -17,7 +17,9 @@ def cues(texts: DataFrame, ident: str, text: str) -> DataFrame:
     body = F.expr("substring(block, instr(block, timing) + length(timing))")
     lines = F.filter(F.transform(F.split(body, r"\r?\n"), strip_markup), lambda x: x != "")
     ends = F.split("timing", r"\s*-->\s*")
-    return timing.select(ident, "cue", timecode(ends[0]).alias("start"), timecode(ends[1]).alias("end"), lines.alias("lines")).where(F.size("lines") > 0)
+    # A filter on times may run before that on timing.
+    at = lambda k: F.when(F.col("timing") != "", timecode(F.get(ends, F.lit(k))))
+    return timing.select(ident, "cue", at(0).alias("start"), at(1).alias("end"), lines.alias("lines")).where(F.size("lines") > 0)
 
 
 def printed_values(text: Column, suffix: str) -> Column:

@@ -308,3 +308,29 @@ def test_vectors_are_used_whole(spark, tmp_path):
     assert len(tiles) == 17 and sum(tiles, []) == cells
     woven = run("interleave_whole").first()["woven"]
     assert woven[::2] + woven[1::2] == [*cells, 0]
+
+
+def test_cue_records_have_88_bytes(spark):
+    from tesserae.sources.cues import cue_records, glyph
+
+    rows = [(1, 0.0, 1.0, ["gone"]), (1, 0.5, 4.0, ["Ab 7", "é%!"]), (1, 3.0, 9.0, ["x" * 100]), (1, 12.0, 13.0, ["late"])]
+    got = [bytes(r["record"]) for r in cue_records(spark.createDataFrame(rows, "id long, start double, end double, lines array<string>"), "id", 1.0, 5.0, 10.0).orderBy("n").collect()]
+    assert [len(x) for x in got] == [88, 88]
+    assert [(int.from_bytes(x[:4], "big"), int.from_bytes(x[4:8], "big")) for x in got] == [(0, 20), (20, 50)]
+    assert got[0][8:48] == bytes(16) + bytes([24, 51, 0, 9, 0, 0, 76, 82]) + bytes(16) and got[0][48:] == bytes(40)
+    assert got[1][8:] == bytes([73] * 80) and [glyph(c) for c in "09:/zZ.-,'?~"] == [2, 11, 12, 13, 75, 49, 77, 78, 79, 80, 81, 0]
+
+
+def test_displayed_error_counts_unwritten_slots(spark):
+    from tesserae.operators.encode import displayed_error, encode
+
+    rows = [(1, f, [0, 1], [v, 5.0]) for f, v in enumerate([0.0, 6.0, 20.0])]
+    frames = spark.createDataFrame(rows, "scope long, frame long, slots array<long>, values array<double>")
+    assert [tuple(r) for r in displayed_error(frames, encode(frames, 10.0, 0, 100)).collect()] == [(1, 6.0)]
+
+
+def test_nibbles_are_rendered(spark):
+    df = spark.createDataFrame([([1, 3, 0, 4], [7, 8, 9])], "n array<int>, c array<int>")
+    assert df.select(scalars.rendered(F.col("n"), F.col("c"))).first()[0] == [7, 9, None, None]
+    for r in queries.QUERIES["rendered_tiles"](spark, SF).collect():
+        assert len(r["nibbles"]) == len(r["px"]) == 64 and set(r["nibbles"]) <= set(range(1, 16)) and None not in r["px"]
