@@ -58,10 +58,18 @@ def frame_hold(spark, d):
 
 @query("SELECT user_id, max(event_id) AS at, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_id <= 500 GROUP BY user_id")
 def log_replay(spark, d):
-    """STF-6: the state of every slot at a frame."""
+    """STF-6: the state of every slot at frame 500, as its SQL has it; log_replay_whole replays to the last frame."""
     return change.replay(read(spark, d, "events"), "user_id", "event_id", 500, "event_type", "value")
 
 
+@query("SELECT user_id, max(event_id) AS at, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def log_replay_whole(spark, d):
+    """STF-6: the state of every slot at the last frame."""
+    events = read(spark, d, "events")
+    last = events.agg(F.max("event_id")).first()[0]
+    return change.replay(events, "user_id", "event_id", last if last is not None else 0, "event_type", "value")
+
+
 @query("""
 SELECT event_id, user_id, event_type IS DISTINCT FROM shown AS pending FROM (
     SELECT *, last_value(CASE WHEN value > 100 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS shown FROM events)
@@ -786,12 +794,27 @@ def interleave_whole(spark, d):
 
 @query("SELECT 'a' AS part, event_id AS frame, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events WHERE event_id BETWEEN 100 AND 199 UNION ALL SELECT 'b', event_id, 100 + row_number() OVER (ORDER BY event_id) - 1 FROM events WHERE event_id BETWEEN 700 AND 749")
 def joined_windows(spark, d):
-    """SET-1, SRT-6: clips end to end with new frame numbers."""
+    """SET-1, SRT-6: two short clips end to end, as its SQL has it; joined_windows_whole takes shares of the table."""
     e = read(spark, d, "events").select(F.col("event_id").alias("frame"))
     clips = e.where("frame between 100 and 199").withColumn("part", F.lit("a")).unionByName(e.where("frame between 700 and 749").withColumn("part", F.lit("b")))
     return ordered.numbered(clips, "frame", "n").select("part", "frame", "n")
 
 
+@query("""
+WITH b AS (SELECT min(event_id) AS lo, max(event_id) - min(event_id) + 1 AS n FROM events)
+SELECT part, frame, row_number() OVER (ORDER BY frame) - 1 AS n FROM (
+    SELECT CASE WHEN event_id - lo < n // 2 THEN 'a' ELSE 'b' END AS part, event_id AS frame FROM events, b
+    WHERE (event_id - lo >= n // 10 AND event_id - lo < n // 2) OR (event_id - lo >= n * 7 // 10 AND event_id - lo < n))
+""")
+def joined_windows_whole(spark, d):
+    """SET-1, SRT-6: clips of the second to fifth and the last three tenths of the table's frames, with new frame numbers."""
+    e = read(spark, d, "events").select(F.col("event_id").alias("frame"))
+    low, high = e.agg(F.min("frame"), F.max("frame")).first()
+    low, n = (low, high - low + 1) if low is not None else (0, 0)
+    clip = lambda part, a, b: e.where(F.col("frame").between(low + n * a // 10, low + n * b // 10 - 1)).withColumn("part", F.lit(part))
+    return ordered.numbered(clip("a", 1, 5).unionByName(clip("b", 7, 10)), "frame", "n").select("part", "frame", "n")
+
+
 @query("SELECT p_brand, round(avg(p_retailprice) / (SELECT avg(p_retailprice) FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)) - 1, 9) AS error FROM part GROUP BY p_brand")
 def model_error(spark, d):
     """AGG-17: measured against a reference rung."""

@@ -334,3 +334,12 @@ def test_nibbles_are_rendered(spark):
     assert df.select(scalars.rendered(F.col("n"), F.col("c"))).first()[0] == [7, 9, None, None]
     for r in queries.QUERIES["rendered_tiles"](spark, SF).collect():
         assert len(r["nibbles"]) == len(r["px"]) == 64 and set(r["nibbles"]) <= set(range(1, 16)) and None not in r["px"]
+
+
+def test_frames_bound_by_the_table(spark, tmp_path):
+    rows = [(i, i % 7, "a" if i < 900 else "b", float(i)) for i in range(1000, 3000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    state = {r["user_id"]: r["at"] for r in queries.QUERIES["log_replay_whole"](spark, str(tmp_path)).collect()}
+    assert state == {i % 7: i for i in range(1000, 3000)}
+    got = [tuple(r) for r in queries.QUERIES["joined_windows_whole"](spark, str(tmp_path)).orderBy("n").collect()]
+    assert got == [("a" if f < 2000 else "b", f, n) for n, f in enumerate([*range(1200, 2000), *range(2400, 3000)])]
