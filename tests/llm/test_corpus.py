@@ -195,18 +195,53 @@ def test_fingerprints(docs, rows):
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
 
 
+def best_products(vectors, k=20, every=20):
+    """(query_id, rank, vec_id, score) by comparing every query row with every other row."""
+    width = max([len(v) for _, v in vectors if v is not None], default=0)
+    clean = [(i, np.pad(np.floor(64 * np.array(v, np.float32).astype(float)), (0, width - len(v)))) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    out = []
+    for n, (q, x) in enumerate(clean):
+        if q % every == 0:
+            best = sorted((-int(x @ c), i) for m, (i, c) in enumerate(clean) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def vectors_frame(spark, vectors, parts=3):
+    return spark.createDataFrame([(i, v, 0, "clash") for i, v in vectors], "vec_id long, embedding array<float>, label int, score string").repartition(parts)
+
+
 def test_top_k_equals_all_scores(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in np.round(rng.normal(0, 0.3, 9), 1)]) for i in range(130)]
     vectors += [(200, None), (201, [1.0, None, 2.0]), (202, [float("nan")] * 9), (203, [float("inf")] * 9), (None, [1.0] * 9), (204, [1.0, 2.0]), (205, [])]
-    df = spark.createDataFrame([(i, v, 0, "clash") for i, v in vectors], "vec_id long, embedding array<float>, label int, score string").repartition(3)
-    clean = {i: np.pad(np.floor(64 * np.array(v, np.float32).astype(float)), (0, 9 - len(v))) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    wanted = []
-    for q in clean:
-        if q % 20 == 0:
-            best = sorted(((-int(clean[q] @ c), i) for i, c in clean.items() if i != q))[:20]
-            wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(map(tuple, exact_topk.exact_topk(df).collect())) == sorted(wanted)
+    assert sorted(map(tuple, exact_topk.exact_topk(vectors_frame(spark, vectors)).collect())) == best_products(vectors)
+
+
+def test_top_k_takes_repeated_ids_as_rows(spark):
+    rng = np.random.default_rng(5)
+    make_vector = lambda: [float(x) for x in np.round(rng.normal(0, 0.3, 6), 1)]
+    same = make_vector()
+    vectors = [(i, make_vector()) for i in range(60)] + [(20, make_vector()), (40, same), (40, same), (40, same), (40, [*same, 0.0]), (7, same), (7, same)] + [(80, [3.0] * 6)] * 30
+    vectors += [(100, []), (100, []), (100, [0.0])]
+    wanted = best_products(vectors)
+    assert sum(r[0] == 40 for r in wanted) == 100
+    for parts in (1, 5):
+        assert sorted(map(tuple, exact_topk.exact_topk(vectors_frame(spark, vectors, parts)).collect())) == wanted
+    few = vectors[:3] + [(0, vectors[0][1])]
+    assert sorted(map(tuple, exact_topk.exact_topk(vectors_frame(spark, few)).collect())) == best_products(few)
+
+
+def test_top_k_grid_covers_all_pairs(spark):
+    vectors = [(i % 70, [float((i * j) % 7) / 8 for j in range(1, 5)]) for i in range(200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "45"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted(map(tuple, exact_topk.exact_topk(vectors_frame(spark, vectors), k=5, every=5).collect())) == best_products(vectors, 5, 5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert exact_topk.grid(2000, 20) == (10, 200) and exact_topk.grid(8, 20) == (1, 8)
 
 
 def test_quality_learns_and_scores_everything(spark):
