@@ -290,16 +290,78 @@ def test_licenses(docs, rows, spark):
     assert sorted((str(r["doc_id"]), r["license"]) for r in got) == [("1", "Apache-2.0-line")] * 2 + [("1", "GPL-3.0-line")] * 2 + [("None", "CC-BY-NC-4.0-line")]
 
 
-def test_winnowing_finds_every_template_line():
+def scan_one(text, templates=license_scan.TEMPLATES, coverage=0.8):
+    import pyarrow as pa
+
+    run = license_scan._scan(license_scan.index_of(templates), coverage)
+    return [r for b in run([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})]) for r in b.to_pylist()]
+
+
+def plain_scan(text, templates, coverage=0.8):
+    """(license, begin, end, matched) by whole alignments through every pair of equal words, without fingerprints or band."""
+    spans = [m.span() for m in re.finditer("[a-z0-9]+", text.lower())]
+    tokens = [text.lower()[a:b] for a, b in spans]
+
+    def one_way(left, right):
+        best, rows = (0, 0, 0), [[(-j, 0, 0) for j in range(len(right) + 1)]]
+        for i, w in enumerate(left):
+            row = [(-i - 1, 0, 0)]
+            for j, v in enumerate(right):
+                s, m, e = rows[i][j]
+                row.append(max((s + 2, m + 1, -j - 1) if w == v else (s - 1, m, e), *((x[0] - 1, *x[1:]) for x in (rows[i][j + 1], row[j]))))
+            rows.append(row)
+            best = max(best, max(row))
+        return best
+
+    found = set()
+    for t, words in enumerate(re.findall("[a-z0-9]+", x.lower()) for x in templates.values()):
+        for i in range(len(words)):
+            for j in range(len(tokens)):
+                if words[i] == tokens[j]:
+                    after, before = one_way(words[i:], tokens[j:]), one_way(words[:i][::-1], tokens[:j][::-1])
+                    if (after[1] + before[1]) / len(words) >= coverage:
+                        found.add((after[0] + before[0], after[1] + before[1], t, j + before[2], j - after[2]))
+    out = []
+    for _, m, t, a, z in sorted(found, key=lambda r: (-r[0], -r[1], *r[2:])):
+        if all(z <= b or a >= e for _, b, e, _ in out):
+            out.append((list(templates)[t], a, z, m))
+    return [(n, spans[a][0], spans[z - 1][1], m) for n, a, z, m in sorted(out, key=lambda r: r[1])]
+
+
+def test_winnowing_finds_every_template():
     rng = random.Random(8)
-    index = license_scan.index_of(license_scan.TEMPLATES)
     for name, line in license_scan.TEMPLATES.items():
         for _ in range(5):
-            text = f"{make(rng, 30)}\n{line}\n{make(rng, 30)}"
-            import pyarrow as pa
-
-            rows = [r for b in license_scan._scan(index, 0.8)([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})]) for r in b.to_pylist()]
-            assert [r["license"] for r in rows] == [name]
+            assert [r["license"] for r in scan_one(f"{make(rng, 30)}\n{line}\n{make(rng, 30)}")] == [name]
+    with pytest.raises(ValueError):
+        license_scan.index_of({"short": "sixteen bytes in"})
+    assert len(scan_one("seventeen bytes x, Seventeen bytes x!", {"short": "seventeen bytes x"})) == 2
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 4, 7, 40])
+def test_neighbouring_copies_are_matches_of_their_own(copies):
+    line = license_scan.TEMPLATES["MIT-line"]
+    found = scan_one("é " + " ".join([line] * copies))
+    assert [(r["begin"], r["end"]) for r in found] == [(2 + 32 * k, 32 + 32 * k) for k in range(copies)]
+
+
+def test_matches_equal_whole_alignments():
+    rng = random.Random(12)
+    some = {n: license_scan.TEMPLATES[n] for n in ("MIT-line", "Apache-2.0-line", "GPL-3.0-line", "CC-BY-SA-line", "BSD-grant")}
+    seen = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            words = some[rng.choice(list(some))].split()
+            if rng.random() < 0.5 and len(words) > 8:  # an edit near the end leaves a long run in place
+                at = len(words) - rng.randint(1, 2)
+                words = rng.choice((words[:at] + ["brand", "new"] + words[at:], words[:at] + words[at + 1 :], words[:at] + ["other"] + words[at + 1 :]))
+            parts += [*words, *(["und", "außer"][: rng.randint(0, 2)])]
+        text = " ".join(parts)
+        got = [(r["license"], r["begin"], r["end"], r["matched"]) for r in scan_one(text, some)]
+        assert got == plain_scan(text, some)
+        seen += len(got)
+    assert seen > 100
 
 
 def test_empty_tables(spark, empty):
