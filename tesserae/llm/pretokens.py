@@ -79,8 +79,9 @@ def gather(flat: np.ndarray, bounds: np.ndarray, entry: np.ndarray) -> tuple[np.
 class Vocabulary:
     """Columns of values for pre-tokens, kept by hash; `of` is asked for new pre-tokens only.
 
-    of(bytes joined, lengths) gives (flat values, bounds) for each column, such as ids. Beyond `most`
-    pre-tokens the cache starts anew, so its size is bounded.
+    of(bytes joined, lengths) gives (flat values, bounds) for each column, such as ids. The bytes are kept
+    too and compared, so pre-tokens of equal hashes never share values. Beyond `most` pre-tokens the cache
+    starts anew, so its size is bounded.
     """
 
     def __init__(self, of: Callable, kinds: tuple = (np.uint32,), most: int = 1 << 20):
@@ -90,15 +91,25 @@ class Vocabulary:
     def _clear(self):
         self._keys, self._entry, self._size = np.empty(0, np.uint64), np.empty(0, np.int64), 0
         self.columns = [(np.empty(0, k), np.zeros(1, np.int64)) for k in self._kinds]
+        self._bodies = (np.empty(0, np.uint8), np.zeros(1, np.int64))
+
+    def _add(self, body: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Numbers of new entries for pre-tokens given as joined bytes and lengths."""
+        found = [*self._of(body, length), (body, np.concatenate([[0], np.cumsum(length)]))]
+        held = [*self.columns, self._bodies]
+        held = [(np.concatenate([flat, more.astype(flat.dtype)]), np.concatenate([bounds, bounds[-1] + ends[1:]])) for (flat, bounds), (more, ends) in zip(held, found, strict=True)]
+        self.columns, self._bodies = held[:-1], held[-1]
+        self._size += len(length)
+        return np.arange(self._size - len(length), self._size)
 
     def entries(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """For each pre-token that starts at `places`, its group in every column."""
+        """For each pre-token that starts at `places`, its group in every column; they follow each other without a gap."""
         if not len(places):
             return np.empty(0, np.int64)
         ends = np.concatenate([places[1:], [len(data)]])
         h = Spans(BYTE_VALUES[data]).hash(places, ends)
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self._keys) + len(keys) > self._most:
+        if self._size + len(keys) > self._most:
             self._clear()
         at = np.searchsorted(self._keys, keys)
         known = np.zeros(len(keys), bool)
@@ -106,17 +117,33 @@ class Vocabulary:
             known = self._keys[np.minimum(at, len(self._keys) - 1)] == keys
         if not known.all():
             new = np.flatnonzero(~known)
-            start, length = places[first[new]], ends[first[new]] - places[first[new]]
-            body = data[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())]
-            found = self._of(body, length)
-            self.columns = [(np.concatenate([flat, more.astype(k)]), np.concatenate([bounds, bounds[-1] + ends_[1:]])) for (flat, bounds), (more, ends_), k in zip(self.columns, found, self._kinds, strict=True)]
-            self._entry = np.insert(self._entry, at[new], self._size + np.arange(len(new)))
+            added = self._add(*_bodies(data, places[first[new]], ends[first[new]]))
+            self._entry = np.insert(self._entry, at[new], added)
             self._keys = np.insert(self._keys, at[new], keys[new])
-            self._size += len(new)
             at = np.searchsorted(self._keys, keys)
-        return self._entry[at][inverse]
+        entry = self._entry[at][inverse]
+        body, bounds = self._bodies
+        size = bounds[entry + 1] - bounds[entry]
+        unlike = size != ends - places
+        if not unlike.any():
+            unlike = np.logical_or.reduceat(gather(body, bounds, entry)[0] != data[places[0] :], places - places[0])
+        else:
+            unlike |= np.array([not u and body[a : a + n].tobytes() != data[p : p + n].tobytes() for u, a, n, p in zip(unlike, bounds[entry], size, places, strict=True)])
+        if unlike.any():  # another pre-token has the same hash
+            which = np.flatnonzero(unlike)
+            own = [data[a:b].tobytes() for a, b in zip(places[which], ends[which], strict=True)]
+            number = {x: i for i, x in enumerate(dict.fromkeys(own))}
+            added = self._add(np.frombuffer(b"".join(number), np.uint8), np.array([len(x) for x in number]))
+            entry[which] = added[[number[x] for x in own]]
+        return entry
 
     def ids(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pre-tokens that start at `places`, and the first id of each and the total."""
         entry = self.entries(data, places)
         return gather(*self.columns[0], entry)
+
+
+def _bodies(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the spans joined, and their lengths."""
+    length = end - start
+    return data[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())], length

@@ -147,6 +147,80 @@ def test_bpe_equals_library(docs, rows):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def rank_file(folder, tokens):
+    """A file of the 256 bytes, then the tokens in order, and the library's encoding of it."""
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {t: 256 + k for k, t in enumerate(tokens)}
+    path = folder / "ranks.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items()))
+    return str(path), tiktoken.Encoding("own", pat_str=r"\p{L}+", mergeable_ranks=ranks, special_tokens={})
+
+
+def as_words(words):
+    raw = [w.encode() for w in words]
+    return np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw])
+
+
+def test_bpe_of_long_words_equals_library():
+    import public_tokenizers
+    import tiktoken
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshrdlucmfwyp", k=50_000)), "x" * 200_000, "".join(rng.choices("ACGT", k=5000)), "".join(rng.choices("漢字かな", k=3000)), "the" * 700, "z" * 33, "-" * 9001, "=-" * 700]
+    words += ["".join(rng.choices("abcdeé", k=n)) for n in range(28, 400, 7)]
+    ids, bounds = byte_bpe.Coder(path).encode(*as_words(words))
+    for w, a, z in zip(words, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:z].tolist() == library.encode_ordinary(w)
+
+
+def test_bpe_of_any_ranks_equals_library(tmp_path):
+    rng = random.Random(9)
+    for _ in range(5):
+        tokens = list({"".join(rng.choices("ab" if rng.random() < 0.6 else "abc", k=rng.randint(2, 6))).encode() for _ in range(40)})
+        rng.shuffle(tokens)  # ranks that fall while a word is contracted
+        path, library = rank_file(tmp_path, tokens)
+        words = ["".join(rng.choices("ab", k=rng.randint(20, 500))) for _ in range(8)] + ["ab" * 40, "aab" * 100, "a" * 65, "b" * 900]
+        tool = byte_bpe.Coder(path)
+        ids, bounds = tool.encode(*as_words(words))
+        assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:], strict=True)] == [library.encode_ordinary(w) for w in words]
+        assert tool.decode(ids, bounds, at_once=50) == [w.encode() for w in words]
+
+
+def test_bpe_decodes_the_ids_of_each_text(spark, monkeypatch):
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    tool = byte_bpe.Coder(path)
+    ids, bounds = tool.encode(*as_words(["one", "two", "", "\x00\x01é"]))
+    assert tool.decode(ids, bounds) == [b"one", b"two", b"", "\x00\x01é".encode()]
+    swapped = np.concatenate([ids[bounds[1] : bounds[2]], ids[: bounds[1]]])
+    assert tool.decode(swapped, np.array([0, 0, len(swapped)])) == [b"", b"twoone"]
+    import pyarrow as pa
+
+    monkeypatch.setitem(byte_bpe._coders, path, tool)
+    real = tool.vocabulary.ids
+    tool.vocabulary.ids = lambda *a: (lambda ids, at: (ids[::-1], at))(*real(*a))  # what is decoded is what was encoded, not the text
+    (out,) = byte_bpe._encode(path, True)([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["ab, cd"]})])
+    assert out.column("decoded").to_pylist() != [b"ab, cd"] and sorted(out.column("decoded")[0].as_py()) == sorted(b"ab, cd")
+
+
+def test_pretokens_of_equal_hashes_stay_apart(monkeypatch):
+    from tesserae.llm import pretokens
+
+    class Few(pretokens.Spans):
+        def hash(self, start, end):
+            return super().hash(start, end) % np.uint64(3)
+
+    monkeypatch.setattr(pretokens, "Spans", Few)
+    held = pretokens.Vocabulary(lambda body, length: ((body, np.concatenate([[0], np.cumsum(length)])),), (np.uint8,))
+    for text in ("one two three four one", "five one two six", "a bb ccc"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        places, _ = pretokens.split(data, np.array([0, len(data)]))
+        assert held.ids(data, places)[0].tobytes() == text.encode()
+
+
 @pytest.mark.parametrize("capacity", [64, 2048])
 def test_packing_is_gapless_and_tight(docs, rows, capacity):
     from tokenizers import Tokenizer
