@@ -1,8 +1,9 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-A page is read by a tolerant tag scanner (raw-text elements, comments, unclosed and implied end tags,
-truncated ends). A leaf block is a maximal run of text between boundaries of block-level elements, with
-the chain of elements it stands in. Its features are ancestor tags, role words in ancestors' class, id
+A page is read by a tolerant tag scanner (raw-text elements, comments, quoted and bare attributes, unclosed
+and implied end tags, truncated ends). A leaf block is a maximal run of text between boundaries of
+block-level elements, with the state that the elements around it lead to: equal chains give equal states,
+so a block costs the same however deep it stands. Its features are ancestor tags, role words in ancestors' class, id
 and role attributes, the innermost ancestor that says content or boilerplate, and figures of its text
 (length, share of links, punctuation, marks such as a copyright sign). Two labels, main text and the
 rest, form the chain; Viterbi decodes it, and main blocks are joined in page order.
@@ -12,8 +13,9 @@ menus, headers, footers, sidebars, notices, adverts, forms, reader comments, tab
 random order and nesting, with blocks of known labels. Training maximises the conditional likelihood by
 gradient descent on the driver, once in a process, with fixed seeds; the weights (some KB) are broadcast.
 
-Scripts, styles, templates, the head and comments of the markup are no blocks. Character references are
-decoded, white space (also a line break) inside a block becomes one space. Nulls and empty pages give an
+Scripts, styles, templates, frames, drawings, selections, text areas, the head and comments of the markup
+are no blocks; formulas, objects and noscript elements are offered to the field like any text. Character
+references are decoded, white space (also a line break) inside a block becomes one space. Nulls and empty pages give an
 empty text. Repeated rows give repeated results; other columns are ignored.
 """
 
@@ -30,17 +32,20 @@ from pyspark.sql import DataFrame
 
 from .common import lean, small_batches
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template|svg|iframe|textarea|select|object|math)\b(?:"[^"]*"|'[^']*'|[^'">])*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_RAW = re.compile(r"<([a-zA-Z]+)")
-_ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: What follows a tag's name: quotes count only where a value starts; one that never ends is text of the value.
+_INSIDE = r"""(?>(?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*)"""
+_TOKEN = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>script|style|template|svg|iframe|textarea|select)(?![a-z0-9:-]){_INSIDE}(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<more>{_INSIDE})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S | re.I)
+_TO_THE_END = {"script", "style", "iframe", "textarea"}  # without an end tag these take the rest of a page
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]*)""")
+_NAMED = {"class", "id", "role", "aria-label", "itemprop"}
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
-_BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html hr legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul button label".split())
+_BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html hr legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul button label noscript".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _ENDS_P = _BLOCK - {"button", "label", "body", "html", "head", "option", "optgroup", "caption", "legend", "summary"}
 _LIST_SCOPE = {"ul", "ol", "dl", "table", "menu"}
-_MARKS = ("nav header footer aside form article main section ul ol li table td th blockquote pre h1 h2 h3 h4 h5 h6 p div figure figcaption button label dl a fieldset details address title".split())
+_MARKS = ("nav header footer aside form article main section ul ol li table td th blockquote pre h1 h2 h3 h4 h5 h6 p div figure figcaption button label dl a fieldset details address title noscript".split())
 _BAD = {
     "menu": "nav navbar menu navigation breadcrumb breadcrumbs tabs toolbar topbar navlinks sitemap skip pagination pager paging toc",
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner dfp adsense",
@@ -58,33 +63,121 @@ _BAD_TAGS = {"nav", "footer", "aside", "form", "button", "label", "fieldset"}
 _TAG_SET = set(_MARKS)
 
 
-def blocks(page: str) -> list[tuple[str, tuple, int]]:
-    """Leaf blocks in page order: (text, chain of (tag, role words), characters inside links)."""
-    out: list[tuple[str, tuple, int]] = []
-    stack: list[tuple[str, tuple]] = []
+_NAMES: dict[str, int] = {}
+
+
+def _feature(name: str) -> int:
+    return _NAMES.setdefault(name, len(_NAMES))
+
+
+def _vocabulary() -> None:
+    """All features in a fixed order, the same in every process."""
+    for name in ("bias", "first", "early", "late", "period", "copyright", "short caps", "digits", "inner good", "inner bad", "no role", "in body only", "same place", "comma", "outer header"):
+        _feature(name)
+    for prefix, names in (("tag", _MARKS), ("parent", _MARKS), ("bad", _BAD), ("good", _GOOD), ("inner", [*_BAD, *_GOOD, *_BAD_TAGS, "article", "main", "header"]), ("words", range(7)), ("links", range(4)), ("both", [f"{i}{j}" for i in range(7) for j in range(4)])):
+        for n in names:
+            _feature(f"{prefix} {n}")
+
+
+_vocabulary()
+
+
+class _State:
+    """What the elements around a block say: their features, the innermost role, and what later elements need to know."""
+
+    __slots__ = ("key", "features", "in_head", "after")
+
+    def __init__(self, key: tuple):
+        names, inner, header, main, plain, tag = self.key = key
+        self.in_head = "in head" in names
+        own = set(names) - {"in head"}
+        own.add("no role" if inner is None else "inner good" if inner[0] else "inner bad")
+        if inner is not None:
+            own.add(f"inner {inner[1]}")
+        if tag in _TAG_SET:
+            own.add(f"parent {tag}")
+        if header and "tag article" not in names:
+            own.add("outer header")
+        if plain:
+            own.add("in body only")
+        self.features = tuple(_NAMES[n] for n in sorted(own) if n in _NAMES)
+        self.after: dict[tuple, _State] = {}
+
+    def within(self, tag: str, roles: tuple) -> _State:
+        """The state inside an element with these role words."""
+        found = self.after.get((tag, roles))
+        if found is None:
+            names, inner, header, main, plain, _ = self.key
+            more = {f"{'good' if good else 'bad'} {kind}" for good, kind in roles}
+            if tag in _TAG_SET:
+                more.add(f"tag {tag}")
+            if tag == "head":
+                more.add("in head")
+            if tag in _BAD_TAGS or tag in ("article", "main", "header"):
+                inner = (tag in ("article", "main"), tag)
+            if roles:
+                inner = next((r for r in roles if not r[0]), roles[0])
+            header = header or (tag == "header" and not main)
+            key = (names | more, inner, header, main or tag == "main", plain and tag in ("html", "body", "p", "div", "a"), tag)
+            found = _states.get(key)
+            if found is None:
+                if len(_states) >= _MOST_STATES:  # bounded: later pages start anew
+                    _states.clear()
+                found = _states[key] = _State(key)
+            self.after[tag, roles] = found
+        return found
+
+
+_MOST_STATES = 65536
+_states: dict[tuple, _State] = {}
+
+
+def _start() -> _State:
+    key = (frozenset(), None, False, False, True, "")
+    if key not in _states:
+        _states[key] = _State(key)
+    return _states[key]
+
+
+def blocks(page: str) -> list[tuple[str, _State, int]]:
+    """Leaf blocks in page order: (text, state, characters inside links)."""
+    out: list[tuple[str, _State, int]] = []
+    stack: list[tuple[str, _State]] = [("", _start())]
+    held: dict[str, int] = {}  # open elements of each name
     run: list[str] = []
-    links, linked = 0, 0
+    links = 0
 
     def flush():
         nonlocal links
         if run:
-            text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
-            if text and not any(t == "head" for t, _ in stack):
-                out.append((text, tuple(stack), links))
+            state = stack[-1][1]
+            if not state.in_head:
+                text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+                if text:
+                    out.append((text, state, links))
             run.clear()
         links = 0
 
     def close(names: set, stop: set):
-        nonlocal linked
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+        if not any(held.get(n) for n in names):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            tag = stack[i][0]
+            if tag in names:
                 flush()
-                linked -= sum(t == "a" for t, _ in stack[i:])
+                for t, _ in stack[i:]:
+                    held[t] -= 1
                 del stack[i:]
                 return
-            if stack[i][0] in stop:
+            if tag in stop:
                 return
 
+    def text(piece: str):
+        nonlocal links
+        run.append(piece)
+        if held.get("a"):
+            links += len(piece)
+
     at, size = 0, len(page)
     while at < size:
         found = _TOKEN.search(page, at)
@@ -93,96 +186,55 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             cut = piece.rfind("<")
             if cut >= 0 and re.match(r"</?[a-zA-Z]", piece[cut:]):
                 piece = piece[:cut]  # the page ends inside a tag
-            run.append(piece)
-            links += len(piece) * (linked > 0)
+            text(piece)
             break
         if found.start() > at:
-            piece = page[at : found.start()]
-            run.append(piece)
-            links += len(piece) * (linked > 0)
+            text(page[at : found.start()])
         at = found.end()
-        tag = found.group(2)
+        raw, tag = found.group("raw"), found.group("tag")
+        if raw:  # up to the end tag this is not page text
+            raw = raw.lower()
+            if raw == "svg" and found.group(0).endswith("/>"):
+                continue
+            end = _ENDS[raw].search(page, at)
+            at = end.end() if end else size if raw in _TO_THE_END else at
+            continue
         if not tag:
-            token = found.group(0)
-            raw = _RAW.match(token)
-            if raw and not token.endswith("/>"):  # text up to the end tag is not page text
-                end = re.compile(rf"</{raw.group(1)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else size
             continue
         tag = tag.lower()
         if tag == "br":
             run.append(" ")
             continue
-        if found.group(1):
-            if tag in _BLOCK or tag == "a":
-                close({tag}, set() if tag in _BLOCK else _BLOCK)
+        block = tag in _BLOCK
+        if found.group("end"):
+            if block or tag == "a":
+                close({tag}, set() if block else _BLOCK)
             continue
-        if tag in _BLOCK:
+        if block:
             flush()
             if tag in _ENDS_P:
                 close({"p"}, _BLOCK - {"p"})
             if tag in _CLOSES:
                 close(_CLOSES[tag], _LIST_SCOPE if tag not in ("tr", "td", "th") else {"table"})
-        if tag in _VOID or (tag not in _BLOCK and tag != "a"):
+        if tag in _VOID or (not block and tag != "a"):
             continue
-        linked += tag == "a"
-        words = tuple(w for _, value in _ATTRIBUTE.findall(found.group(3)) for w in _WORD.findall(value.lower())) if "=" in found.group(3) else ()
-        stack.append((tag, words))
+        more = found.group("more")
+        roles = ()
+        if "=" in more:
+            words = (w for name, value in _ATTRIBUTE.findall(more) if name.lower() in _NAMED for w in _WORD.findall(value.lower()))
+            roles = tuple(_ROLE[w] for w in words if w in _ROLE)
+        stack.append((tag, stack[-1][1].within(tag, roles)))
+        held[tag] = held.get(tag, 0) + 1
     flush()
     return out
 
 
-_NAMES: dict[str, int] = {}
-
-
-def _feature(name: str) -> int:
-    return _NAMES.setdefault(name, len(_NAMES))
-
-
-def _vocabulary() -> None:
-    """All features in a fixed order, the same in every process."""
-    for name in ("bias", "first", "early", "late", "period", "copyright", "short caps", "digits", "inner good", "inner bad", "no role", "in body only", "same place", "comma", "outer header"):
-        _feature(name)
-    for prefix, names in (("tag", _MARKS), ("parent", _MARKS), ("bad", _BAD), ("good", _GOOD), ("inner", [*_BAD, *_GOOD, *_BAD_TAGS, "article", "main", "header"]), ("words", range(7)), ("links", range(4)), ("both", [f"{i}{j}" for i in range(7) for j in range(4)])):
-        for n in names:
-            _feature(f"{prefix} {n}")
-
-
-_vocabulary()
+_ENDS = {n: re.compile(rf"</{n}\b[^>]*(?:>|\Z)", re.I) for n in ("script", "style", "template", "svg", "iframe", "textarea", "select")}
 
 
-@lru_cache(maxsize=65536)
-def _place(chain: tuple) -> tuple[int, ...]:
-    """Features of the elements that a block stands in."""
-    names: set[str] = set()
-    inner = None
-    for tag, words in chain:
-        if tag in _TAG_SET:
-            names.add(f"tag {tag}")
-        if tag in _BAD_TAGS or tag in ("article", "main", "header"):
-            inner = (tag in ("article", "main"), tag)
-        roles = [_ROLE[w] for w in words if w in _ROLE]
-        for good, kind in roles:
-            names.add(f"{'good' if good else 'bad'} {kind}")
-        bad = [r for r in roles if not r[0]]
-        if roles:
-            inner = bad[0] if bad else roles[0]
-    names.add("no role" if inner is None else "inner good" if inner[0] else "inner bad")
-    if inner is not None:
-        names.add(f"inner {inner[1]}")
-    if chain and chain[-1][0] in _TAG_SET:
-        names.add(f"parent {chain[-1][0]}")
-    tags = [t for t, _ in chain]
-    if "header" in tags and "article" not in tags and "main" not in tags[: tags.index("header")]:
-        names.add("outer header")
-    if all(t in ("html", "body", "p", "div", "a") for t, _ in chain):
-        names.add("in body only")
-    return tuple(_NAMES[n] for n in sorted(names) if n in _NAMES)
-
-
-def block_features(found: list[tuple[str, tuple, int]]) -> list[tuple[int, ...]]:
+def block_features(found: list[tuple[str, _State, int]]) -> list[tuple[int, ...]]:
     out = []
-    for i, (text, chain, links) in enumerate(found):
+    for i, (text, state, links) in enumerate(found):
         words = text.count(" ") + 1
         size = 0 if words <= 1 else 1 if words <= 3 else 2 if words <= 7 else 3 if words <= 15 else 4 if words <= 30 else 5 if words <= 80 else 6
         share = links / max(len(text), 1)
@@ -201,9 +253,9 @@ def block_features(found: list[tuple[str, tuple, int]]) -> list[tuple[int, ...]]
             names.append("short caps")
         if any(c.isdigit() for c in text[:80]):
             names.append("digits")
-        if i and found[i - 1][1] == chain:
+        if i and found[i - 1][1].key == state.key:
             names.append("same place")
-        out.append((*_place(chain), *{_NAMES[n] for n in names}))
+        out.append((*state.features, *{_NAMES[n] for n in names}))
     return out
 
 
@@ -316,7 +368,7 @@ def labelled_pages(count: int = 500, seed: int = 3):
 
     def boilerplate():
         kind = rng.choice(("ad", "ad", "notice", "comment", "side", "social", "form", "menu", "head"))
-        tag = rng.choice({"side": ("aside", "aside", "div"), "form": ("form", "form", "div"), "comment": ("section", "div", "ol"), "head": ("header",)}.get(kind, ("div", "section", "div")))
+        tag = rng.choice({"side": ("aside", "aside", "div"), "form": ("form", "form", "div"), "notice": ("div", "section", "div", "noscript"), "comment": ("section", "div", "ol"), "head": ("header",)}.get(kind, ("div", "section", "div")))
         role = attribute([kind])
         if tag in ("div", "section", "ol") and not role:
             role = f' class="{(_BAD[kind]).split()[0]}"'
@@ -362,8 +414,10 @@ def labelled_pages(count: int = 500, seed: int = 3):
                     parts.append("<table>" + "".join("<tr>" + keep(phrase(1, 4), "<td>", "</td>") + keep(phrase(1, 4), "<td>", "</td>") + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>")
                 elif r < 0.94:
                     parts.append("<figure><img src=x>" + keep(short(), "<figcaption>", "</figcaption>") + "</figure>")
-                elif r < 0.96:
+                elif r < 0.95:
                     parts.append("<pre>" + keep(phrase(3, 9)) + "</pre>")
+                elif r < 0.96:
+                    parts.append("<noscript>" + keep(prose(), "<p>", "</p>") + "</noscript>")
                 else:
                     parts.append(boilerplate())
             if rng.random() < 0.25:

@@ -355,6 +355,68 @@ def test_pages(spark):
     assert found[6]["n_chars"] == len("long words here. " * 20000) - 1
 
 
+@pytest.mark.parametrize("markup", [
+    ("<p title=it's>Hello there, friends.</p><p>World's end is here, they say.</p>", "Hello there, friends.\nWorld's end is here, they say."),
+    ("<p data-x='a>b' id=one>First words of it.</p><p title=\"a > b\">Second words of it.</p>", "First words of it.\nSecond words of it."),
+    ("<p title=\"never closed>One long sentence here.</p><p>Another long sentence here.</p>", "One long sentence here.\nAnother long sentence here."),
+    ("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math>, as they say.</p>", "Energy is E=m, as they say."),
+    ("<p>Text before it all.</p><noscript><p>Pictures of the long trip.</p></noscript><p>Text after it all.</p>", "Text before it all.\nPictures of the long trip.\nText after it all."),
+    ("<!--><p>After an empty comment.</p><!-- x --!><p>And after another one.</p>", "After an empty comment.\nAnd after another one."),
+    ("<p>Some words<svg><title>icon</title></svg> go on here.</p><svg/><p>More words go on.</p>", "Some words go on here.\nMore words go on."),
+    ("<p>Words before a script.</p><SCRIPT src=a>var x = '<p>no</p>';</SCRIPT ><p>Words after a script.</p>", "Words before a script.\nWords after a script."),
+])
+def test_markup_is_read(markup):
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>A title</h1>{markup[0]}</article><footer>&copy; X</footer></body></html>"
+    assert html_crf.extract(page, html_crf.trained())[0] == "A title\n" + markup[1]
+
+
+def test_deep_pages_cost_no_more():
+    import time
+
+    deep = "<article>" + "<div>" * 30000 + "<p>The words in the middle, at last.</p>" + "<p>And some other words.</p>" * 2000 + "</div>" * 30000 + "</article>"
+    start = time.time()
+    found = html_crf.blocks(deep)
+    assert len(found) == 2001 and time.time() - start < 5
+    assert len({id(state) for _, state, _ in found}) == 1
+    assert len(html_crf.blocks("<p x=\"" * 20000 + "</b" * 20000)) <= 1 and time.time() - start < 20
+
+
+def test_viterbi_and_gradient_equal_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    field = html_crf.Field()
+    field.emission = rng.normal(0, 1, field.emission.shape)
+    field.transition, field.start = rng.normal(0, 1, (2, 2)), rng.normal(0, 1, 2)
+    pages = [([tuple(rng.choice(len(field.emission), 3, replace=False).tolist()) for _ in range(n)], rng.integers(0, 2, n).tolist()) for n in (1, 2, 5, 8)]
+
+    def score(f, rows, labels):
+        s = f.start[labels[0]] + sum(f.emission[i, y] for r, y in zip(rows, labels, strict=True) for i in r)
+        return s + sum(f.transition[a, b] for a, b in zip(labels, labels[1:]))
+
+    def loss(f):
+        return -np.mean([score(f, r, y) - np.logaddexp.reduce([score(f, r, z) for z in product((0, 1), repeat=len(r))]) for r, y in pages])
+
+    for rows, _ in pages:
+        assert field.viterbi(rows) == list(max(product((0, 1), repeat=len(rows)), key=lambda z: score(field, rows, z)))
+    # One step without decay moves each weight against the sign of its slope; slopes by finite differences.
+    for name, at in [("transition", (0, 1)), ("transition", (1, 1)), ("start", (0,)), *(("emission", (i, k)) for i in pages[2][0][1] for k in (0, 1))]:
+        slopes = []
+        for d in (1e-5, -1e-5):
+            other = html_crf.Field()
+            for n in ("emission", "transition", "start"):
+                setattr(other, n, getattr(field, n).copy())
+            getattr(other, name)[at] += d
+            slopes.append(loss(other))
+        slope = (slopes[0] - slopes[1]) / 2e-5
+        moved = html_crf.Field()
+        for n in ("emission", "transition", "start"):
+            setattr(moved, n, getattr(field, n).copy())
+        moved.learn(pages, rounds=1, step=1e-3, decay=0.0)
+        change = getattr(moved, name)[at] - getattr(field, name)[at]
+        assert change == pytest.approx(-1e-3 * slope / np.sqrt(1e-6 + slope**2), rel=1e-3, abs=1e-9)
+
+
 def test_licenses(docs, rows, spark):
     found = license_scan.license_scan(docs).collect()
     text = dict(rows)
