@@ -15,12 +15,17 @@ document that links lead to.
    threshold is linked with nothing. The others' prefixes, now in the order of exact counts, give
    posting lists again, in which passages that many unlike documents share no longer appear; classes
    that these lists connect are candidate clusters.
-5. Within a cluster, each set is a query against inverted lists of the smaller sets. DivideSkip:
-   the shortest lists are merged (with a heap when they are short), the longest are only probed by
-   binary search for the candidates which can still reach T occurrences. Candidates that links
-   already join to the query need no search. Clusters beyond `block_grams` n-grams are split in
-   hash blocks, and every pair of blocks is a task of its own, so no link is lost and no task grows
-   with a cluster.
+5. Within a cluster, each set is a query against inverted lists of the smaller sets. First the last
+   linked sets of a few components are probed in all its lists: a family of near copies links there. Then
+   DivideSkip for the candidates that no link joins to the query yet: the L longest lists are set
+   aside, L = T / (mu log2(longest) + 1); the short ones are merged, with a heap up to `HEAP_MOST`
+   entries, and what occurs T - L times there is probed by binary search in the long lists.
+6. Clusters of more n-grams than a task's share (all members' over the number of tasks, at most
+   `block_grams`) are cut in hash blocks, in three passes: within blocks; among the sets that no link in
+   their block joined to a smaller one; then every set outside the cluster's largest component against
+   the whole cluster, block by block. Only where these are more than a task's share themselves is each
+   pair of blocks a task. No pass compares sets that are joined, so no link between components is lost,
+   and a family of near copies is sent three times however large it is.
 
 Nulls, empty texts and texts without a word have the empty set: n_shingles 0, linked with nothing. A
 text without doc_id links others as any does, but names no component: a component without any doc_id is
@@ -30,8 +35,8 @@ null. Repeated rows give repeated result rows. Other columns are ignored, whatev
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +49,13 @@ from .repeats import BLOCK, FLUSH, batch, beside, bucket_of, cut, deltas, expand
 from .textkit import Spans, mix, slices, word_hashes
 
 SKETCH_BITS = 18
+HEAP_MOST = 2048
+LEAST_BLOCK = 4096
 U = np.uint64
+#: For a set: the component that it is in so far, the blocks of its cluster, and how it meets the others.
+PLACE = np.dtype([("root", "<i8"), ("parts", "<i4"), ("mode", "<i4")])
+OWN_BLOCK, ALL_BLOCKS, PAIRS = 0, 1, 2
+TASK = "cluster long, one int, two int, block int, class long, root long, grams binary"
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,21 +142,25 @@ def pack_postings(held: list[tuple], buckets: int) -> pa.RecordBatch:
 
 def _postings(width: int, num: int, den: int, levels, buckets: int):
     def run(batches):
-        level, held, size = levels.value, [], 0
+        level, held, size, seen = levels.value, [], 0, set()
         for batch in batches:
             for _, _, grams, bounds in _texts(batch.column(0), width):
-                sizes = np.diff(bounds)
+                classes, sizes = digests(grams, bounds), np.diff(bounds)
+                new = np.zeros(len(sizes), bool)  # copies have one posting in each of their lists
+                new[np.unique(classes, return_index=True)[1]] = True
+                new &= np.fromiter((c not in seen for c in classes.tolist()), bool, len(sizes))
+                seen.update(classes[new].tolist())
                 key = (level[(grams >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(U) << U(58)) | (mix(grams) >> U(6))
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     key[a:b].sort()
-                prefix = np.where(sizes > 0, sizes - (-(-sizes * num // den)) + common(sizes), 0)
+                prefix = np.where(new & (sizes > 0), sizes - (-(-sizes * num // den)) + common(sizes), 0)
                 place = np.arange(len(key)) - np.repeat(bounds[:-1], sizes)
                 keep = place < np.repeat(prefix, sizes)
-                held.append((key[keep], np.repeat(digests(grams, bounds), sizes)[keep], np.repeat(sizes, sizes)[keep].astype(np.uint32)))
+                held.append((key[keep], np.repeat(classes, sizes)[keep], np.repeat(sizes, sizes)[keep].astype(np.uint32)))
                 size += len(held[-1][0])
                 if size > 1 << 20:
                     yield pack_postings(held, buckets)
-                    held, size = [], 0
+                    held, size, seen = [], 0, set()
         if size:
             yield pack_postings(held, buckets)
 
@@ -323,104 +338,161 @@ def _shared_prefixes(num: int, den: int, parts: int, buckets: int):
     return run
 
 
-def _cluster_blocks(parts: int):
-    """(class, cluster, parts) -> answers for the classes' homes."""
+def _placed(parts: int):
+    """(class, cluster, root, parts, mode) -> answers for the classes' homes."""
 
     def run(batches):
         for b in batches:
-            yield from reply(np.asarray(b.column(0)), np.asarray(b.column(1)).view(U), parts, np.asarray(b.column(2)).astype(np.int32))
+            cls, cluster, root, blocks, mode = (np.asarray(c) for c in b.columns)
+            place = np.empty(len(cls), PLACE)
+            place["root"], place["parts"], place["mode"] = root, blocks, mode
+            yield from reply(cls, cluster.view(U), parts, place)
 
     return run
 
 
-def _heap_merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Members of sorted lists with their occurrences, through a heap of the lists' heads."""
-    found = [(k, sum(1 for _ in g)) for k, g in groupby(heapq.merge(*(x.tolist() for x in lists)))]
-    return np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
+def _heap_merge(lists: list[list[int]]) -> Counter:
+    """How often each entry stands in sorted lists, through a heap of the lists' heads."""
+    return Counter(heapq.merge(*lists))
+
+
+def long_lists(count: int, longest: int, least: int, mu: float) -> int:
+    """L of DivideSkip: how many of `count` lists are only probed when `least` occurrences are wanted."""
+    return max(0, min(count - 1, least - 1, int(least / (mu * np.log2(max(longest, 2)) + 1))))
 
 
-def _merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if sum(map(len, lists)) <= 24:
-        return _heap_merge(lists)
-    return np.unique(np.concatenate(lists), return_counts=True)  # the same merge over long runs
+class Work:
+    """What a search read: merged entries of short lists, binary probes, all entries of the lists it had."""
 
+    def __init__(self):
+        self.merged = self.probes = self.entries = 0
 
-def linked_sets(sets: list[np.ndarray], num: int, den: int, sides: np.ndarray | None = None, mu: float = 0.0085) -> np.ndarray:
-    """For each set the smallest index that links lead to. With sides, only sets of different sides are compared."""
+
+def linked_sets(sets: list[np.ndarray], num: int, den: int, sides: np.ndarray | None = None, known: np.ndarray | None = None, mu: float = 0.0085, work: Work | None = None) -> np.ndarray:
+    """For each set the smallest index that links lead to. With sides, only sets of different sides are compared; sets of one known component are joined already."""
+    work, total = work or Work(), len(sets)
     order = np.argsort([len(x) for x in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order], np.int64)
-    grams = np.concatenate([sets[i] for i in order]) if len(order) else np.empty(0, U)
-    who = np.repeat(np.arange(len(order)), size)
+    grams = np.concatenate([sets[i] for i in order]) if total else np.empty(0, U)
     by = np.argsort(grams, kind="stable")
-    grams, lists = grams[by], who[by]
-    heads = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
-    list_of = np.repeat(np.arange(len(heads)), np.diff(np.concatenate([heads, [len(grams)]])))
+    who = np.repeat(np.arange(total), size)[by]
+    new = np.concatenate([[True], grams[by][1:] != grams[by][:-1]]) if len(grams) else np.empty(0, bool)
+    heads, list_of = np.flatnonzero(new), np.cumsum(new) - 1
+    entry = list_of * total + who  # sorted: one binary search finds a set in a list
     at = np.empty(len(grams), np.int64)
     at[by] = np.arange(len(grams))  # where each element of each set stands in its list
     bounds = np.concatenate([[0], np.cumsum(size)])
     side = sides[order] if sides is not None else None
-    root = np.arange(len(order))
-    for q in range(1, len(order)):
+    root = np.arange(total) if known is None else np.unique(known[order], return_index=True, return_inverse=True)[1][np.unique(known[order], return_inverse=True)[1]]
+    members = {int(r): np.flatnonzero(root == r) for r in np.unique(root)} if known is not None else {}
+    recent: list[int] = []
+
+    def join(a: int, b: int):
+        a, b = sorted((a, b))
+        own = members.pop(b, np.array([b]))
+        root[own] = a
+        members[a] = np.concatenate([members.get(a, np.array([a])), own])
+
+    def overlap(lists: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        wanted = (lists[:, None] * total + candidates).ravel()
+        work.probes += len(wanted)
+        place = np.searchsorted(entry, wanted)
+        place[place == len(entry)] = 0
+        return (entry[place] == wanted).reshape(len(lists), -1).sum(0)
+
+    def complete(lists: np.ndarray, found: np.ndarray, occurs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates that reach their wanted occurrences with the lists still to be probed, and all their occurrences."""
+        for k in range(0, len(lists), 16):
+            if not len(found):
+                break
+            occurs = occurs + overlap(lists[k : k + 16], found)
+            keep = occurs + max(0, len(lists) - k - 16) >= wanted
+            found, occurs, wanted = found[keep], occurs[keep], wanted[keep]
+        return found, occurs
+
+    for q in range(1, total):
         n = int(size[q])
         least = -(-num * n // den)
         low = int(np.searchsorted(size, least))
-        if low >= q:
+        if low >= q or n == 0:
             continue
-        other = root[low:q] != root[q]
-        if side is not None:
-            other &= side[low:q] != side[q]
-        if not other.any():
+
+        def open_(found, q=q):
+            return (root[found] != root[q]) & (side[found] != side[q] if side is not None else True)
+
+        def settle(found, occurs, lists, q=q, n=n):
+            wanted = -(-num * (n + size[found]) // (num + den))  # of the pair: den * both >= num * (n + size - both)
+            for r in np.unique(root[complete(lists, found, occurs, wanted)[0]]).tolist():
+                join(int(root[r]), int(root[q]))
+
+        if not open_(np.arange(low, q)).any():
             continue
         end = at[bounds[q] : bounds[q + 1]]
-        start = heads[list_of[end]]
-        length = end - start
-        some = length > 0
+        lists = list_of[end]
+        start = heads[lists]
+        some = end > start  # lists that a smaller set is in
+        work.entries += int((end - start).sum())
         if some.sum() < least:
             continue
-        rank = np.argsort(length[some], kind="stable")
-        start, end = start[some][rank], end[some][rank]
-        longest = int(end[-1] - start[-1])
-        count = len(start)
-        long = min(count - 1, least - 1, max(int(least / (mu * np.log2(longest + 1) + 1)), count - (count - least + 1)))
-        spans = [lists[a:b] for a, b in zip(start[: count - long].tolist(), end[: count - long].tolist(), strict=True)]
-        found, occurs = _merge(spans)
-        keep = (found >= low) & (occurs >= least - long)
-        keep[keep] &= other[found[keep] - low]
-        found, occurs = found[keep], occurs[keep]
-        for i in range(count - long, count):
-            if not len(found):
-                break
-            span = lists[start[i] : end[i]]
-            place = np.searchsorted(span, found)
-            place[place == len(span)] = 0
-            occurs = occurs + (span[place] == found)
-            keep = occurs + (count - 1 - i) >= least
+        lists, start, end = lists[some], start[some], end[some]
+        first = np.array([r for r in recent if r >= low], np.int64)
+        first = first[open_(first)]
+        if len(first):
+            settle(first, np.zeros(len(first), np.int64), lists)
+        if open_(np.arange(low, q)).any():
+            rank = np.argsort(end - start, kind="stable")
+            lists, start, end = lists[rank], start[rank], end[rank]
+            long = long_lists(len(lists), int(end[-1] - start[-1]), least, mu)
+            count = len(lists) - long
+            span = end[:count] - start[:count]
+            places = np.repeat(start[:count] - (np.cumsum(span) - span), span) + np.arange(span.sum())
+            entries, of = who[places], np.repeat(np.arange(count), span)
+            keep = (entries >= low) & open_(entries)
+            entries, of = entries[keep], of[keep]
+            work.merged += len(entries)
+            if len(entries) <= HEAP_MOST:
+                cut_at = np.searchsorted(of, np.arange(count + 1)).tolist()
+                merged = _heap_merge([entries[a:b].tolist() for a, b in zip(cut_at[:-1], cut_at[1:], strict=True) if a < b])
+                found, occurs = np.fromiter(merged.keys(), np.int64, len(merged)), np.fromiter(merged.values(), np.int64, len(merged))
+            else:
+                found, occurs = np.unique(entries, return_counts=True)  # the same merge over long runs
+            keep = occurs >= -(-num * (n + size[found]) // (num + den)) - long
             found, occurs = found[keep], occurs[keep]
-        hit = den * occurs >= num * (n + size[found] - occurs)
-        for r in np.unique(root[found[hit]]).tolist():
-            a, b = sorted((r, int(root[q])))
-            root[root == b] = a
-    smallest = np.full(len(order), len(order))
+            while len(found):
+                # Of many, one of each component first: where it links, the others need no probes.
+                some = np.unique(root[found], return_index=True)[1][: 1 << 16] if len(found) > 64 else np.arange(len(found))
+                settle(found[some], occurs[some], lists[count:])
+                rest = np.ones(len(found), bool)
+                rest[some] = False
+                rest &= open_(found)
+                found, occurs = found[rest], occurs[rest]
+        if root[q] in members:
+            recent = [q, *(r for r in recent if root[r] != root[q])][:4]
+    smallest = np.full(total, total)
     np.minimum.at(smallest, root, order)
-    out = np.empty(len(order), np.int64)
+    out = np.empty(total, np.int64)
     out[order] = smallest[root]
     return out
 
 
-def _tasks():
-    """Sets beside their clusters -> one row for each block pair that a set takes part in."""
+def _tasks(salt: int):
+    """Sets beside their places -> a row for each task that a set takes part in."""
 
     def step(answers, cls, data, offsets):
         low, high = answers.bounds(cls)
         rows, raw = [], data.tobytes()
-        blocks = mix(cls.view(U))
+        blocks = mix(cls.view(U) ^ U(salt))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         for i in np.flatnonzero(low < high).tolist():
-            cluster, m = int(answers.value[low[i] : high[i]].view(np.int64)[0]), int(answers.second[low[i]])
-            block, body = int(blocks[i] % U(m)), raw[offsets[i] : offsets[i + 1]]
-            rows += [(cluster, min(block, k), max(block, k), block, int(cls[i]), body) for k in range(m)]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        for k in range(0, len(rows), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 2000], strict=True), kinds, strict=True)], ["cluster", "one", "two", "block", "class", "grams"])
+            cluster, (root, m, mode) = int(answers.value[low[i] : high[i]].view(np.int64)[0]), answers.second[low[i]].tolist()
+            own, body = int(blocks[i] % U(m)), raw[offsets[i] : offsets[i + 1]]
+            meets = [(own, own)] if mode == OWN_BLOCK else [(k, k) for k in range(m)] if mode == ALL_BLOCKS else [(min(own, k), max(own, k)) for k in range(m)]
+            rows += [(cluster, one, two, own, int(cls[i]), root, body) for one, two in meets]
+            if len(rows) > 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["cluster", "one", "two", "block", "class", "root", "grams"])
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["cluster", "one", "two", "block", "class", "root", "grams"])
 
     return step
 
@@ -429,15 +501,16 @@ def _search(num: int, den: int):
     def run(batches):
         tasks: dict[tuple, dict[int, tuple]] = {}
         for batch in batches:
-            for c, i, j, k, cls, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                tasks.setdefault((c, i, j), {})[cls] = (k, body)
+            for c, i, j, k, cls, root, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                tasks.setdefault((c, i, j), {})[cls] = (k, root, body)
         nodes, roots = [], []
         while tasks:
             (_, i, j), rows = tasks.popitem()
             classes = sorted(rows)
-            sets = [np.frombuffer(rows[c][1], U) for c in classes]
+            sets = [np.frombuffer(rows[c][2], U) for c in classes]
             sides = None if i == j else np.array([rows[c][0] for c in classes])
-            root = linked_sets(sets, num, den, sides)
+            known = np.array([rows[c][1] for c in classes])
+            root = linked_sets(sets, num, den, sides, known)
             for k in np.flatnonzero(root != np.arange(len(root))).tolist():
                 nodes.append(classes[k])
                 roots.append(classes[int(root[k])])
@@ -446,6 +519,39 @@ def _search(num: int, den: int):
     return run
 
 
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int, p: int, block_grams: int) -> DataFrame:
+    """(node, root) of the classes that links join: members has (class, n, cluster), sets their n-grams by home."""
+
+    def search(places: DataFrame, salt: int = 0) -> DataFrame:
+        answers = places.select("class", "cluster", "root", "parts", "mode").mapInArrow(lean(_placed(p)), BLOCK)
+        tasks = together(answers, sets, p).mapInArrow(lean(beside(_tasks(salt), U, PLACE)), TASK)
+        return saved(tasks.repartition(p, "cluster", "one", "two").mapInArrow(lean(_search(num, den)), "u long, v long"))
+
+    def blocks(of: str):
+        return F.ceil(F.col(of) / F.lit(share)).cast("int")
+
+    def alone(df: DataFrame, parts) -> DataFrame:
+        return df.withColumn("parts", parts).withColumn("root", F.col("class")).withColumn("mode", F.lit(OWN_BLOCK))
+
+    share = min(block_grams, max((members.agg(F.sum("n")).first()[0] or 0) // p, LEAST_BLOCK))
+    weight = members.groupBy("cluster").agg(F.sum("n").alias("weight"))
+    placed = saved(alone(members.join(weight, "cluster"), blocks("weight")))
+    first = search(placed)
+    wide = placed.where("parts > 1").select("class", "n", "cluster", "parts")
+    if wide.isEmpty():
+        return first.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    # What no link in its block has joined to a smaller one, among themselves.
+    left = wide.drop("parts").join(first, F.col("class") == F.col("u"), "left_anti")
+    second = search(alone(left.join(left.groupBy("cluster").agg(F.sum("n").alias("weight")), "cluster"), blocks("weight")), salt=1)
+    found = connected(first.union(second))
+    now = wide.join(found, F.col("class") == F.col("node"), "left").select("class", "n", "cluster", "parts", F.coalesce("root", "class").alias("root"))
+    by_root = now.groupBy("cluster", "root").agg(F.sum("n").alias("own"))
+    most = by_root.groupBy("cluster").agg(F.max_by("root", F.struct("own", "root")).alias("major"), (F.sum("own") - F.max("own")).alias("outside")).where("outside > 0")
+    mode = F.when(F.col("outside") > F.lit(share), PAIRS).when(F.col("root") == F.col("major"), OWN_BLOCK).otherwise(ALL_BLOCKS)
+    third = search(now.join(most, "cluster").withColumn("mode", mode))
+    return connected(first.union(second).union(third))
+
+
 def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block_grams: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles long, component_id long) for documents whose sets reach num/den are linked; see the module."""
     spark = docs.sparkSession
@@ -457,24 +563,20 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     lists = "bucket int, keys binary, classes binary, sizes binary"
     postings = docs.select("text").mapInArrow(lean(_postings(width, num, den, levels, p)), lists)
     met = postings.repartitionById(p, "bucket").mapInArrow(lean(_lists(num, den, p)), BLOCK).repartitionById(p, "part").mapInArrow(lean(_often()), "class long")
-    classes = stats.where("class <> 0").groupBy("class").agg(F.min("at").alias("rep"), F.min("doc_id").alias("doc"), F.first("n").alias("n"))
+    full = stats.where("class <> 0")
+    classes = full.groupBy("class").agg(F.min("at").alias("rep"), F.min("doc_id").alias("doc"), F.first("n").alias("n"))
     members = classes.join(met, "class").select("rep", "class").mapInArrow(lean(_member_blocks(p)), BLOCK)
     sets = together(members, docs.mapInArrow(lean(texts(p)), BLOCK), p).mapInArrow(lean(beside(_member_sets(width, p), U)), BLOCK)
     sets = saved(sets)
     counts = sets.mapInArrow(lean(_gram_marks(p)), BLOCK).repartitionById(p, "part").mapInArrow(lean(_counts(p)), BLOCK)
     shared = together(counts, sets, p).mapInArrow(lean(_shared_prefixes(num, den, p, p)), lists)
     clusters = connected(shared.repartitionById(p, "bucket").mapInArrow(lean(_lists(num, den)), "u long, v long"))
-    members = clusters.withColumnRenamed("node", "class").join(classes, "class")
-    parts = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block_grams)).cast("int").alias("parts"))
-    members = saved(members.join(parts, "root").select("class", F.col("root").alias("cluster"), "parts"))
-    tasks = together(members.mapInArrow(lean(_cluster_blocks(p)), BLOCK), sets, p).mapInArrow(lean(beside(_tasks(), U, np.int32)), "cluster long, one int, two int, block int, class long, grams binary")
-    links = saved(tasks.repartition(p, "cluster", "one", "two").mapInArrow(lean(_search(num, den)), "u long, v long"))
-    if members.where("parts > 1").limit(1).count():
-        found = connected(links)
-    else:
-        found = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    members = saved(clusters.join(classes, F.col("node") == F.col("class")).select("class", "n", F.col("root").alias("cluster")))
+    found = _links(members, sets, num, den, p, block_grams)
     roots = classes.join(found, classes["class"] == found["node"], "left").select("class", "doc", F.coalesce("root", "class").alias("root"))
     # A class no search has joined is its own root.
     smallest = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
     labels = roots.join(smallest, "root").select("class", "component_id")
-    return stats.join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # Empty sets, perhaps very many, meet nothing.
+    empty = stats.where("class = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return full.join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)

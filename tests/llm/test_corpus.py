@@ -91,6 +91,66 @@ def test_divide_skip_equals_counting():
     assert ngram_jaccard.linked_sets(sets, 80, 100).tolist() == root
 
 
+def family(rng, count, size, edits):
+    base = rng.integers(0, 1 << 60, size, dtype=np.uint64)
+    return [np.unique(np.concatenate([rng.permutation(base)[: size - e], rng.integers(0, 1 << 60, e, dtype=np.uint64)])) for e in rng.integers(0, edits, count)]
+
+
+def plain_components(sets, num, den, may=lambda i, j: True, joined=()):
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if (i, j) in joined or (may(i, j) and sets[i].size and den * both >= num * (len(sets[i]) + len(sets[j]) - both)):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("mu", [0.0, 0.0085, 0.5, 20.0])
+def test_search_equals_all_pairs_for_any_split(mu):
+    rng = np.random.default_rng(4)
+    sets = family(rng, 40, 120, 30) + family(rng, 30, 60, 20) + [np.empty(0, np.uint64), np.array([5], np.uint64), np.array([5], np.uint64)]
+    sides, known = rng.integers(0, 3, len(sets)), rng.integers(0, len(sets), len(sets))
+    assert ngram_jaccard.linked_sets(sets, 80, 100, mu=mu).tolist() == plain_components(sets, 80, 100)
+    assert ngram_jaccard.linked_sets(sets, 80, 100, sides, mu=mu).tolist() == plain_components(sets, 80, 100, lambda i, j: sides[i] != sides[j])
+    same = {(i, j) for i in range(len(sets)) for j in range(i) if known[i] == known[j]}
+    assert ngram_jaccard.linked_sets(sets, 80, 100, None, known, mu=mu).tolist() == plain_components(sets, 80, 100, joined=same)
+
+
+def test_long_lists_are_probed_not_read():
+    assert ngram_jaccard.long_lists(200, 1 << 20, 170, 0.0085) == 145  # T / (mu log2 M + 1)
+    assert ngram_jaccard.long_lists(200, 2, 170, 0.0) == 169 and ngram_jaccard.long_lists(1, 9, 1, 0.1) == 0
+    assert len({ngram_jaccard.long_lists(200, longest, 170, 0.05) for longest in (2, 64, 4096)}) == 3
+    rng = np.random.default_rng(7)
+    # Sets of one base that are linked with none: long lists for what they share.
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:175], rng.integers(0, 1 << 60, 25, dtype=np.uint64)])) for base in [rng.integers(0, 1 << 60, 200, dtype=np.uint64)] for _ in range(60)]
+    read = {}
+    for mu in (0.0085, 0.5, 100.0):
+        work = read[mu] = ngram_jaccard.Work()
+        assert ngram_jaccard.linked_sets(sets, 80, 100, mu=mu, work=work).tolist() == plain_components(sets, 80, 100)
+    assert 0 < read[0.0085].merged < read[0.5].merged < read[100.0].merged <= read[100.0].entries
+    assert read[0.0085].merged + read[0.0085].probes < read[100.0].entries
+    # A family links through one probe of a set before: next to nothing is merged.
+    near, work = family(rng, 300, 200, 8), ngram_jaccard.Work()
+    assert set(ngram_jaccard.linked_sets(near, 80, 100, work=work).tolist()) == {0}
+    assert work.merged < work.entries / 100 and work.probes < work.entries / 10
+
+
+def test_components_of_any_graph(spark):
+    rng = random.Random(2)
+    graphs = [[(i, i + 1) for i in range(90)], [(0, i) for i in range(1, 60)] + [(59, 100), (101, 100)], [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)], [(3, 3), (None, 4)], []]
+    for edges in graphs:
+        root = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+        for a, b in edges * len(edges):
+            if a in root and b in root:
+                low = min(root[a], root[b])
+                root[a] = root[b] = low
+        from tesserae.llm.common import connected
+
+        assert dict(map(tuple, connected(spark.createDataFrame(edges, "u long, v long")).collect())) == root
+
+
 def test_suffixes_equal_brute_force(docs, rows):
     seen, wanted = {}, {}
     for i, t in sorted(rows):
