@@ -52,10 +52,7 @@ SKETCH_BITS = 18
 HEAP_MOST = 2048
 LEAST_BLOCK = 4096
 U = np.uint64
-#: For a set: the component that it is in so far, the blocks of its cluster, and how it meets the others.
-PLACE = np.dtype([("root", "<i8"), ("parts", "<i4"), ("mode", "<i4")])
-OWN_BLOCK, ALL_BLOCKS, PAIRS = 0, 1, 2
-TASK = "cluster long, one int, two int, block int, class long, root long, grams binary"
+TASK = ["cluster", "one", "two", "block", "class", "root", "wide", "grams"]
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -339,14 +336,11 @@ def _shared_prefixes(num: int, den: int, parts: int, buckets: int):
 
 
 def _placed(parts: int):
-    """(class, cluster, root, parts, mode) -> answers for the classes' homes."""
+    """(class, cluster, blocks of the cluster) -> answers for the classes' homes."""
 
     def run(batches):
         for b in batches:
-            cls, cluster, root, blocks, mode = (np.asarray(c) for c in b.columns)
-            place = np.empty(len(cls), PLACE)
-            place["root"], place["parts"], place["mode"] = root, blocks, mode
-            yield from reply(cls, cluster.view(U), parts, place)
+            yield from reply(np.asarray(b.column(0)), np.asarray(b.column(1)).view(U), parts, np.asarray(b.column(2)).astype(np.int32))
 
     return run
 
@@ -475,46 +469,43 @@ def linked_sets(sets: list[np.ndarray], num: int, den: int, sides: np.ndarray |
     return out
 
 
-def _tasks(salt: int):
-    """Sets beside their places -> a row for each task that a set takes part in."""
+def _tasks():
+    """Sets beside their clusters -> a row for the task of a set's block."""
 
     def step(answers, cls, data, offsets):
         low, high = answers.bounds(cls)
-        rows, raw = [], data.tobytes()
-        blocks = mix(cls.view(U) ^ U(salt))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        for i in np.flatnonzero(low < high).tolist():
-            cluster, (root, m, mode) = int(answers.value[low[i] : high[i]].view(np.int64)[0]), answers.second[low[i]].tolist()
-            own, body = int(blocks[i] % U(m)), raw[offsets[i] : offsets[i + 1]]
-            meets = [(own, own)] if mode == OWN_BLOCK else [(k, k) for k in range(m)] if mode == ALL_BLOCKS else [(min(own, k), max(own, k)) for k in range(m)]
-            rows += [(cluster, one, two, own, int(cls[i]), root, body) for one, two in meets]
-            if len(rows) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["cluster", "one", "two", "block", "class", "root", "grams"])
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["cluster", "one", "two", "block", "class", "root", "grams"])
+        own, raw = np.flatnonzero(low < high), data.tobytes()
+        blocks = mix(cls.view(U))
+        rows = [(int(answers.value[low[i]].view(np.int64)), int(blocks[i] % U(m)), int(cls[i]), m > 1, raw[offsets[i] : offsets[i + 1]]) for i in own.tolist() for m in [int(answers.second[low[i]])]]
+        for k in range(0, len(rows), 2000):
+            cluster, block, name, wide, body = (pa.array(x, t) for x, t in zip(zip(*rows[k : k + 2000], strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True))
+            yield pa.RecordBatch.from_arrays([cluster, block, block, block, name, name, wide, body], TASK)
 
     return step
 
 
 def _search(num: int, den: int):
+    """Tasks -> links between components (u, v), and the sets of wide clusters (u, cluster, grams) for the passes to come."""
+
     def run(batches):
         tasks: dict[tuple, dict[int, tuple]] = {}
         for batch in batches:
-            for c, i, j, k, cls, root, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                tasks.setdefault((c, i, j), {})[cls] = (k, root, body)
-        nodes, roots = [], []
+            for c, i, j, k, cls, root, wide, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                tasks.setdefault((c, i, j), {})[cls] = (k, root, body, wide)
+        links, kept = set(), []
         while tasks:
-            (_, i, j), rows = tasks.popitem()
+            (c, i, j), rows = tasks.popitem()
             classes = sorted(rows)
-            sets = [np.frombuffer(rows[c][2], U) for c in classes]
-            sides = None if i == j else np.array([rows[c][0] for c in classes])
-            known = np.array([rows[c][1] for c in classes])
-            root = linked_sets(sets, num, den, sides, known)
-            for k in np.flatnonzero(root != np.arange(len(root))).tolist():
-                nodes.append(classes[k])
-                roots.append(classes[int(root[k])])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["u", "v"])
+            sets = [np.frombuffer(rows[x][2], U) for x in classes]
+            known = [rows[x][1] for x in classes]
+            root = linked_sets(sets, num, den, None if i == j else np.array([rows[x][0] for x in classes]), np.array(known))
+            links |= {(a, known[b]) for a, b in zip(known, root.tolist(), strict=True) if a != known[b]}
+            kept += [(x, c, rows[x][2]) for x in classes if rows[x][3]]
+        u, v = [a for a, _ in links], [b for _, b in links]
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary())], ["u", "v", "cluster", "grams"])
+        for k in range(0, len(kept), 2000):
+            cls, cluster, body = zip(*kept[k : k + 2000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.nulls(len(cls), pa.int64()), pa.array(cluster, pa.int64()), pa.array(body, pa.binary())], ["u", "v", "cluster", "grams"])
 
     return run
 
@@ -522,34 +513,47 @@ def _search(num: int, den: int):
 def _links(members: DataFrame, sets: DataFrame, num: int, den: int, p: int, block_grams: int) -> DataFrame:
     """(node, root) of the classes that links join: members has (class, n, cluster), sets their n-grams by home."""
 
-    def search(places: DataFrame, salt: int = 0) -> DataFrame:
-        answers = places.select("class", "cluster", "root", "parts", "mode").mapInArrow(lean(_placed(p)), BLOCK)
-        tasks = together(answers, sets, p).mapInArrow(lean(beside(_tasks(salt), U, PLACE)), TASK)
-        return saved(tasks.repartition(p, "cluster", "one", "two").mapInArrow(lean(_search(num, den)), "u long, v long"))
+    def search(tasks: DataFrame) -> DataFrame:
+        return saved(tasks.select(*TASK).repartition(p, "cluster", "one", "two").mapInArrow(lean(_search(num, den)), "u long, v long, cluster long, grams binary"))
 
-    def blocks(of: str):
-        return F.ceil(F.col(of) / F.lit(share)).cast("int")
+    def blocks(grams: str):
+        return F.ceil(F.col(grams) / F.lit(share)).cast("int")
 
-    def alone(df: DataFrame, parts) -> DataFrame:
-        return df.withColumn("parts", parts).withColumn("root", F.col("class")).withColumn("mode", F.lit(OWN_BLOCK))
+    def block(parts: str, salt: int):
+        return F.pmod(F.xxhash64("class", F.lit(salt)), F.col(parts)).cast("int")
 
     share = min(block_grams, max((members.agg(F.sum("n")).first()[0] or 0) // p, LEAST_BLOCK))
-    weight = members.groupBy("cluster").agg(F.sum("n").alias("weight"))
-    placed = saved(alone(members.join(weight, "cluster"), blocks("weight")))
-    first = search(placed)
-    wide = placed.where("parts > 1").select("class", "n", "cluster", "parts")
+    weights = members.groupBy("cluster").agg(F.sum("n").alias("weight")).where(F.col("weight") > share)
+    # Clusters of more than a task's share: as many as tasks at most, unless block_grams is smaller than the share.
+    wide = saved(weights.select("cluster", blocks("weight").alias("parts")))
+    placed = members.join(wide, "cluster", "left").select("class", "cluster", F.coalesce("parts", F.lit(1)))
+    tasks = together(placed.mapInArrow(lean(_placed(p)), BLOCK), sets, p).mapInArrow(lean(beside(_tasks(), U, np.int32)), "cluster long, one int, two int, block int, class long, root long, wide boolean, grams binary")
+    found = search(tasks)
+    first, held = found.where("v is not null").select("u", "v"), found.where("grams is not null").select(F.col("u").alias("class"), "cluster", "grams")
+    stars = first.select(F.col("u").alias("node"), F.col("v").alias("root"))
     if wide.isEmpty():
-        return first.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    # What no link in its block has joined to a smaller one, among themselves.
-    left = wide.drop("parts").join(first, F.col("class") == F.col("u"), "left_anti")
-    second = search(alone(left.join(left.groupBy("cluster").agg(F.sum("n").alias("weight")), "cluster"), blocks("weight")), salt=1)
-    found = connected(first.union(second))
-    now = wide.join(found, F.col("class") == F.col("node"), "left").select("class", "n", "cluster", "parts", F.coalesce("root", "class").alias("root"))
-    by_root = now.groupBy("cluster", "root").agg(F.sum("n").alias("own"))
-    most = by_root.groupBy("cluster").agg(F.max_by("root", F.struct("own", "root")).alias("major"), (F.sum("own") - F.max("own")).alias("outside")).where("outside > 0")
-    mode = F.when(F.col("outside") > F.lit(share), PAIRS).when(F.col("root") == F.col("major"), OWN_BLOCK).otherwise(ALL_BLOCKS)
-    third = search(now.join(most, "cluster").withColumn("mode", mode))
-    return connected(first.union(second).union(third))
+        return stars
+    # What no link in its block has joined to another one, among themselves: a row for each component of a block.
+    size = (F.octet_length("grams") / 8).alias("n")
+    left = held.join(first, F.col("class") == F.col("u"), "left_anti")
+    again = left.groupBy("cluster").agg(F.sum(size).alias("weight")).select("cluster", blocks("weight").alias("again"))
+    name = F.col("class")
+    second = search(left.join(again, "cluster").select("*", block("again", 1).alias("one"), name.alias("root"), F.lit(False).alias("wide")).select("*", F.col("one").alias("two"), F.col("one").alias("block"))).select("u", "v")
+    up = second.select(F.col("u").alias("middle"), F.col("v").alias("top"))
+    stars = saved(stars.join(up, F.col("root") == F.col("middle"), "left").select("node", F.coalesce("top", "root").alias("root")).union(second))
+    # What is outside the largest component of its cluster, against all of it.
+    now = held.join(stars, name == F.col("node"), "left").select("class", "cluster", "grams", size, F.coalesce("root", "class").alias("root"))
+    components = now.groupBy("cluster", "root").agg(F.sum("n").alias("own"))
+    major = components.groupBy("cluster").agg(F.max_by("root", F.struct("own", "root")).alias("major"), (F.sum("own") - F.max("own")).alias("outside")).where("outside > 0").join(wide, "cluster")
+    every, own = F.sequence(F.lit(0), F.col("parts") - 1), block("parts", 2)
+    meets = F.when((F.col("root") == F.col("major")) & (F.col("outside") <= share), F.array(own)).otherwise(every)
+    pairs = F.col("outside") > share
+    tasks = now.join(major, "cluster").select("*", own.alias("block"), F.explode(meets).alias("other"), F.lit(False).alias("wide"))
+    tasks = tasks.withColumn("one", F.when(pairs, F.least("block", "other")).otherwise(F.col("other"))).withColumn("two", F.when(pairs, F.greatest("block", "other")).otherwise(F.col("other")))
+    third = connected(search(tasks).select("u", "v"))
+    last = third.select(F.col("node").alias("middle"), F.col("root").alias("top"))
+    moved = stars.join(last, F.col("root") == F.col("middle"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.union(third.where("node <> root")).distinct()
 
 
 def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block_grams: int = 4_000_000) -> DataFrame:
