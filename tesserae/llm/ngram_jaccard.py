@@ -526,19 +526,21 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int, p: int, bloc
     weights = members.groupBy("cluster").agg(F.sum("n").alias("weight")).where(F.col("weight") > share)
     # Clusters of more than a task's share: as many as tasks at most, unless block_grams is smaller than the share.
     wide = saved(weights.select("cluster", blocks("weight").alias("parts")))
-    placed = members.join(wide, "cluster", "left").select("class", "cluster", F.coalesce("parts", F.lit(1)))
+    rows = wide.count()
+    few = F.broadcast if rows <= 1 << 17 else lambda df: df  # a row of 24 bytes for each wide cluster
+    placed = members.join(few(wide), "cluster", "left").select("class", "cluster", F.coalesce("parts", F.lit(1)))
     tasks = together(placed.mapInArrow(lean(_placed(p)), BLOCK), sets, p).mapInArrow(lean(beside(_tasks(), U, np.int32)), "cluster long, one int, two int, block int, class long, root long, wide boolean, grams binary")
     found = search(tasks)
     first, held = found.where("v is not null").select("u", "v"), found.where("grams is not null").select(F.col("u").alias("class"), "cluster", "grams")
     stars = first.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    if wide.isEmpty():
+    if not rows:
         return stars
     # What no link in its block has joined to another one, among themselves: a row for each component of a block.
     size = (F.octet_length("grams") / 8).alias("n")
     left = held.join(first, F.col("class") == F.col("u"), "left_anti")
     again = left.groupBy("cluster").agg(F.sum(size).alias("weight")).select("cluster", blocks("weight").alias("again"))
     name = F.col("class")
-    second = search(left.join(again, "cluster").select("*", block("again", 1).alias("one"), name.alias("root"), F.lit(False).alias("wide")).select("*", F.col("one").alias("two"), F.col("one").alias("block"))).select("u", "v")
+    second = search(left.join(few(again), "cluster").select("*", block("again", 1).alias("one"), name.alias("root"), F.lit(False).alias("wide")).select("*", F.col("one").alias("two"), F.col("one").alias("block"))).select("u", "v")
     up = second.select(F.col("u").alias("middle"), F.col("v").alias("top"))
     stars = saved(stars.join(up, F.col("root") == F.col("middle"), "left").select("node", F.coalesce("top", "root").alias("root")).union(second))
     # What is outside the largest component of its cluster, against all of it.
@@ -548,7 +550,7 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int, p: int, bloc
     every, own = F.sequence(F.lit(0), F.col("parts") - 1), block("parts", 2)
     meets = F.when((F.col("root") == F.col("major")) & (F.col("outside") <= share), F.array(own)).otherwise(every)
     pairs = F.col("outside") > share
-    tasks = now.join(major, "cluster").select("*", own.alias("block"), F.explode(meets).alias("other"), F.lit(False).alias("wide"))
+    tasks = now.join(few(major), "cluster").select("*", own.alias("block"), F.explode(meets).alias("other"), F.lit(False).alias("wide"))
     tasks = tasks.withColumn("one", F.when(pairs, F.least("block", "other")).otherwise(F.col("other"))).withColumn("two", F.when(pairs, F.greatest("block", "other")).otherwise(F.col("other")))
     third = connected(search(tasks).select("u", "v"))
     last = third.select(F.col("node").alias("middle"), F.col("root").alias("top"))
