@@ -142,18 +142,20 @@ def _read_run(block: bytes, length: int) -> tuple:
     return lcp, size, suffix, before, bsize, entry, doc, at
 
 
-def merge_runs(keys: list[list[int]], shared: list[list[int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_runs(keys: list[list[int]], shared: list[list[int]], width: int, read: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges sorted runs with a loser tree that knows common prefixes: (run, place in it, common prefix with the one before).
 
     keys: strings as integers of `width` bytes. shared: common prefix of each key with the key before it
     in its run. A run's head carries the prefix it shares with the last key that left the tree; heads of
-    unlike prefix are ordered by it, and the bytes of heads are compared only when the prefixes are equal.
+    unlike prefix are ordered by it, and of heads of equal prefix only the bytes behind it are compared.
+    `read` collects how many bytes each comparison had before it.
     """
     k = len(keys)
     leaves = 1
     while leaves < k:
         leaves *= 2
     bits, end = 8 * width, 1 << (8 * width + 1)
+    rest = [(1 << 8 * (width - n)) - 1 for n in range(width + 1)]  # the bytes behind a prefix of n
     head = [keys[r][0] if r < k and keys[r] else end for r in range(leaves)]
     known = [0 if head[r] != end else -1 for r in range(leaves)]
     place = [0] * leaves
@@ -195,7 +197,9 @@ def merge_runs(keys: list[list[int]], shared: list[list[int]], width: int) -> tu
             if theirs > mine:
                 loser[node], win, mine = win, other, theirs
             elif theirs == mine and mine >= 0:
-                x, y = head[win], head[other]
+                x, y = head[win] & rest[mine], head[other] & rest[mine]
+                if read is not None:
+                    read.append(width - mine)
                 common = (bits - (x ^ y).bit_length()) // 8
                 if y < x:
                     known[win] = common
