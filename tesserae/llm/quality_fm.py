@@ -12,7 +12,7 @@ sample's sparse features. Everything else covers all documents.
 
 Nulls and empty texts have the features of an empty text and get a score. A null doc_id is never learned
 from and not held out. Null labels are ignored; of several labels for one document the lowest counts.
-Without labels, or with one class only, the score is the share of label 1 (0.5 without any). Repeated
+Of several texts of one id the smallest is learned from. Without labels, or with one class only, the score is the share of label 1 (0.5 without any). Repeated
 rows are scored each; other columns are ignored.
 """
 
@@ -166,8 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> Machine:
     """Learns from at most `most_rows` labelled documents that are not held out."""
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "doc_id", "label").mapInArrow(lean(_examples), "doc_id long, label double, index binary, value binary").collect()
-    rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
+    # One text for each sampled id, so that what is collected is bounded whatever repeats.
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = texts.select("text", "doc_id", "label").mapInArrow(lean(_examples), "doc_id long, label double, index binary, value binary").collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     lists = [np.frombuffer(r["index"], np.int32) for r in rows]
     index = np.concatenate([*lists, np.empty(0, np.int32)]).astype(np.int64)
     value = np.concatenate([*(np.frombuffer(r["value"], np.float32) for r in rows), np.empty(0, np.float32)])
