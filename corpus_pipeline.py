@@ -2,6 +2,10 @@
 
 Every stage but the last takes and returns the columns of documents, and works on all that the stage
 before it kept. Nulls in a text are empty texts; the operators' modules say how other cases count.
+
+Rows of one doc_id are one document, of which near_duplicates keeps one row, that of the smallest text;
+ids lie below 2**62. Documents without doc_id are told apart by their texts: one that is linked with a
+document that has an id goes, and of those linked only among themselves one stays, its id still null.
 """
 
 from __future__ import annotations
@@ -9,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import stored, table
+from tesserae.llm.common import dropped, stored, table
 from tesserae.llm.ngram_jaccard import ngram_jaccard
 from tesserae.llm.packing import best_fit_packing
 from tesserae.llm.quality_fm import quality_filter
 from tesserae.llm.queries import tokenizer_path
+from tesserae.llm.repeats import NO_ID
 from tesserae.llm.suffix_dedup import suffix_dedup
 
 #: The stages need a learned model and a tokenizer, which SQL cannot express; tests/llm holds them against brute force.
@@ -28,8 +33,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
-    dropped = ngram_jaccard(docs, width=5, num=80, den=100).where("component_id <> doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    nameless = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID - 1))
+    named = docs.select(*COLUMNS, F.coalesce("doc_id", nameless).alias("key"))
+    found = ngram_jaccard(named.select(F.col("key").alias("doc_id"), "text"), width=5, num=80, den=100)
+    rows = found.groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("times"), F.bool_and(F.col("component_id") != F.col("doc_id")).alias("linked"))
+    marks = rows.where("linked or times > 1").select("key", "linked").hint("shuffle_hash")
+    marked = named.join(marks, "key", "left")
+    first = F.min(F.struct("text", *(c for c in COLUMNS if c != "text"))).alias("row")
+    repeated = marked.where("not linked").groupBy("key").agg(first).select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
+    return marked.where("linked is null").select(*COLUMNS).union(repeated)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +60,11 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is a table in the shared folder, which goes once the next one is written."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, before = stored(stage(spark, docs, sf_dir)), held
+        held = docs
+        if before is not None:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

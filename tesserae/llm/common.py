@@ -49,10 +49,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The checkpoint folder that the cluster names in spark.checkpoint.dir; a temporary one only in a local session."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tesserae-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -70,6 +72,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that `stored` wrote."""
+    spark = df.sparkSession
+    (folder,) = {f.rpartition("/")[0] for f in df.inputFiles()} or {None}
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every upper end has one edge and is no lower end: then each lower end is the root of its component."""
     ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))

@@ -180,6 +180,20 @@ def test_loser_tree_merges_with_prefixes():
     assert lcp.tolist() == [0] + [common(a, b) for a, b in zip(out, out[1:])]
 
 
+def test_loser_tree_reads_no_known_prefix():
+    rng = random.Random(5)
+    width, common = 40, lambda a, b: next((i for i in range(40) if a[i] != b[i]), 40)
+    runs = [sorted(b"the same thirty bytes in front." + "".join(rng.choices("abc", k=9)).encode() for _ in range(60)) for _ in range(8)]
+    keys = [[int.from_bytes(x, "big") for x in r] for r in runs]
+    shared = [[0] + [common(a, b) for a, b in zip(r, r[1:])] for r in runs]
+    read = []
+    which, place, lcp = suffix_dedup.merge_runs(keys, shared, width, read)
+    out = [runs[w][p] for w, p in zip(which, place, strict=True)]
+    assert out == sorted(x for r in runs for x in r) and lcp.tolist() == [0] + [common(a, b) for a, b in zip(out, out[1:])]
+    # Once the tree is built every head shares the thirty-one bytes with the key that left before it.
+    assert len(read) < 480 * 3 and max(read) <= width - 31
+
+
 @pytest.mark.parametrize("window", [35, 8])
 def test_substrings_equal_brute_force(docs, rows, window):
     words = {i: WORD.findall(t or "") for i, t in rows}
@@ -312,6 +326,34 @@ def test_packing_plan_holds_every_piece():
     assert (used == histogram).all()
 
 
+def plain_phrases(text):
+    """The LZ78 phrases of bytes by the book; an unfinished phrase at the end is none."""
+    known, phrase = set(), b""
+    for k in range(len(text)):
+        phrase += text[k : k + 1]
+        if phrase not in known:
+            known.add(phrase)
+            phrase = b""
+    return known
+
+
+def test_phrases_and_minima_equal_plain_sets(rows):
+    texts = [(t or "").encode() for _, t in rows]
+    for t in texts:
+        ends, _ = lz_fingerprint.phrase_ends(t, {})
+        assert {t[a:b] for a, b in zip([0, *ends], ends)} == plain_phrases(t)
+        assert len(ends) == len(plain_phrases(t))
+    small = [t for t in texts if len(t) < 2000]
+    signs = lz_fingerprint.signatures(small, [lz_fingerprint.phrase_ends(t, {})[0] for t in small])
+    gaps = []
+    for i in range(len(small)):
+        for j in range(i):
+            a, b = plain_phrases(small[i]), plain_phrases(small[j])
+            if len(a | b) > 60:
+                gaps.append(float(lz_fingerprint.likeness(signs[i : i + 1], signs[j : j + 1])[0]) - len(a & b) / len(a | b))
+    assert len(gaps) > 100 and abs(np.mean(gaps)) < 0.03 and max(map(abs, gaps)) < 0.25
+
+
 def test_fingerprints(docs, rows):
     order = sorted(rows, reverse=True)
     found = {r["doc_id"]: r for r in lz_fingerprint.lz_fingerprint(docs).collect()}
@@ -387,6 +429,27 @@ def test_quality_learns_and_scores_everything(spark):
     assert all((zlib.crc32(str(i).encode()) % 4 == 2) == h for i, h in zip(found.doc_id, found.held_out, strict=True))
 
 
+def test_machine_equals_explicit_pairs():
+    rng = np.random.default_rng(1)
+    machine = quality_fm.Machine(0.3)
+    machine.weight = rng.normal(0, 1, quality_fm.SIZE).astype(np.float32)
+    machine.vectors = rng.normal(0, 0.5, machine.vectors.shape).astype(np.float32)
+    data = "One two two three. Ünd 4 FIVE! one".encode() + b"\nlone"
+    index, value, bounds = quality_fm.features(np.frombuffer(data, np.uint8), np.array([0, len(data) - 4, len(data)]))
+    logits, _ = machine.terms(index, value, bounds)
+    for row, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        i, x = index[a:z], value[a:z].astype(float)
+        pairs = sum(float(machine.vectors[i[p]].astype(float) @ machine.vectors[i[q]]) * x[p] * x[q] for p in range(len(i)) for q in range(p))
+        assert logits[row] == pytest.approx(0.3 + machine.weight[i] @ x + pairs, rel=1e-3, abs=1e-3)
+
+
+def test_quality_sample_is_bounded_by_repeated_ids(spark):
+    docs = frame(spark, [(4, "good words here"), (4, "good words here"), (4, "bad !!!"), *[(8, "bad !!! ###")] * 50])
+    labels = spark.createDataFrame([(4, 1, 0), (8, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    found = quality_fm.quality_fm(docs, labels)
+    assert found.count() == 53 and len({r["score"] for r in found.where("doc_id = 8").collect()}) == 1
+
+
 def test_quality_edges(spark, docs, empty, rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality_fm.quality_fm(docs, none).collect()} == {0.5}
@@ -615,6 +678,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    one, two, three = (make(rng, 80) for _ in range(3))
+    rows = [(5, one), (5, one), (9, one + " more"), (None, one), (None, two), (None, two), (None, two + " end"), (7, three), (8, None), (8, None), (None, ""), (None, None)]
+    out = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in out.collect()))
+    assert got[:3] == [(False, 5, one), (False, 7, three), (False, 8, "")]
+    assert [t for n, _, t in got if n and t] in ([two], [two + " end"])  # and texts without words, linked with nothing
+    assert corpus_pipeline.near_duplicates(spark, frame(spark, [(1, "a")]).limit(0), "").count() == 0
+
+
+def test_pipeline_leaves_one_table(spark, tmp_path):
+    from tesserae.llm.common import dropped, shared_folder, stored
+
+    table = stored(spark.range(5))
+    folder = table.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    import os
+
+    assert os.path.isdir(folder) and os.path.basename(os.path.dirname(folder)) == os.path.basename(shared_folder(spark))
+    dropped(table)
+    assert not os.path.exists(folder)
+
+
 def test_ngram_jaccard_links_through_texts_without_ids(spark):
     words = [f"w{i}" for i in range(100)]
     # Neighbours share 56 of 68 pairs or more; the outer two only 48 of 75.
