@@ -22,18 +22,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Arrays from this size on are mapped and go back when they are freed, in place of holes in the worker's heap.
+MAPPED_BYTES = 4 << 20
+
+
 def lean(run: Callable) -> Callable:
-    """run for mapInArrow, after which the worker gives back the memory that its allocators keep."""
+    """run for mapInArrow in a worker that keeps large arrays out of its heap and gives back what its allocators keep."""
 
     def wrapped(batches):
+        library = ctypes.CDLL(None)
+        if hasattr(library, "mallopt"):
+            library.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD
         try:
             yield from run(batches)
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            if hasattr(library, "malloc_trim"):
+                library.malloc_trim(0)
 
     return wrapped
 

@@ -70,7 +70,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def gather(flat: np.ndarray, bounds: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of the given groups, one after the other, and the first value of each and the total."""
-    begin = bounds[entry]
+    begin = bounds[entry].astype(np.int64)
     count = bounds[entry + 1] - begin
     total = np.concatenate([[0], np.cumsum(count)])
     return flat[np.repeat(begin - total[:-1], count) + np.arange(total[-1])], total
@@ -80,8 +80,8 @@ class Vocabulary:
     """Columns of values for pre-tokens, kept by hash; `of` is asked for new pre-tokens only.
 
     of(bytes joined, lengths) gives (flat values, bounds) for each column, such as ids. The bytes are kept
-    too and compared, so pre-tokens of equal hashes never share values. Beyond `most` pre-tokens the cache
-    starts anew, so its size is bounded.
+    too and compared, so pre-tokens of equal hashes never share values. Beyond `most` pre-tokens, or 1 GB of
+    their bytes, the cache starts anew, so its size is bounded.
     """
 
     def __init__(self, of: Callable, kinds: tuple = (np.uint32,), most: int = 1 << 20):
@@ -89,15 +89,15 @@ class Vocabulary:
         self._clear()
 
     def _clear(self):
-        self._keys, self._entry, self._size = np.empty(0, np.uint64), np.empty(0, np.int64), 0
-        self.columns = [(np.empty(0, k), np.zeros(1, np.int64)) for k in self._kinds]
-        self._bodies = (np.empty(0, np.uint8), np.zeros(1, np.int64))
+        self._keys, self._entry, self._size = np.empty(0, np.uint64), np.empty(0, np.int32), 0
+        self.columns = [(np.empty(0, k), np.zeros(1, np.uint32)) for k in self._kinds]
+        self._bodies = (np.empty(0, np.uint8), np.zeros(1, np.uint32))
 
     def _add(self, body: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Numbers of new entries for pre-tokens given as joined bytes and lengths."""
         found = [*self._of(body, length), (body, np.concatenate([[0], np.cumsum(length)]))]
         held = [*self.columns, self._bodies]
-        held = [(np.concatenate([flat, more.astype(flat.dtype)]), np.concatenate([bounds, bounds[-1] + ends[1:]])) for (flat, bounds), (more, ends) in zip(held, found, strict=True)]
+        held = [(np.concatenate([flat, more.astype(flat.dtype)]), np.concatenate([bounds, (int(bounds[-1]) + ends[1:]).astype(np.uint32)])) for (flat, bounds), (more, ends) in zip(held, found, strict=True)]
         self.columns, self._bodies = held[:-1], held[-1]
         self._size += len(length)
         return np.arange(self._size - len(length), self._size)
@@ -109,7 +109,7 @@ class Vocabulary:
         ends = np.concatenate([places[1:], [len(data)]])
         h = Spans(BYTE_VALUES[data]).hash(places, ends)
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if self._size + len(keys) > self._most:
+        if self._size + len(keys) > self._most or len(self._bodies[0]) > 1 << 30:
             self._clear()
         at = np.searchsorted(self._keys, keys)
         known = np.zeros(len(keys), bool)
@@ -123,7 +123,7 @@ class Vocabulary:
             at = np.searchsorted(self._keys, keys)
         entry = self._entry[at][inverse]
         body, bounds = self._bodies
-        size = bounds[entry + 1] - bounds[entry]
+        size = (bounds[entry + 1] - bounds[entry]).astype(np.int64)
         unlike = size != ends - places
         if not unlike.any():
             unlike = np.logical_or.reduceat(gather(body, bounds, entry)[0] != data[places[0] :], places - places[0])

@@ -151,7 +151,7 @@ def marks(of: Callable, parts: int) -> Callable:
                 if len(h):
                     held.append((h, doc[i + row], index))
                     size += len(h)
-                if size > 2 * FLUSH:
+                if size > FLUSH:
                     yield flush(held)
                     held, size = [], 0
         if held:
