@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,13 +78,13 @@ def attribute_fields(word: Column, low: Column) -> Column:
 
 
 def bayer(row: Column, col: Column) -> Column:
-    """Threshold of an ordered 8 x 8 dither matrix, in [0, 1): bits of row xor col and row, interleaved from the low end."""
+    """Threshold of an ordered 8 x 8 dither matrix, the middle of its step in [0, 1): bits of row xor col and row, interleaved from the low end."""
     x, y = col.bitwiseAND(7).bitwiseXOR(row.bitwiseAND(7)), row.bitwiseAND(7)
     bits = [F.shiftleft(F.shiftright(v, k).bitwiseAND(1), 2 * (2 - k) + odd) for k in range(3) for v, odd in ((x, 1), (y, 0))]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return total / 64.0
+    return (total + 0.5) / 64.0
 
 
 def timecode(text: Column) -> Column:
@@ -176,3 +178,33 @@ def planes(nibbles: Column, plane: int) -> Column:
 def rendered(nibbles: Column, colours: Column) -> Column:
     """Colours of 4-bit values that count a palette's colours from 1; null for others."""
     return F.transform(nibbles, lambda n: F.when(n.between(1, F.size(colours)), F.get(colours, n.cast("int") - 1)))
+
+
+def reachable(hold: Column, fps: Column) -> Column:
+    """Whether a hold drops frames of a source: none does at 1, others only below the source's rate."""
+    return (hold <= 1) | (F.lit(FPS_NUM / FPS_DEN) / hold < fps)
+
+
+def rung_label(hold: Column, chroma: Column) -> Column:
+    """What a rung shows, in words."""
+    shown = F.when(hold == 1, F.lit("every frame")).otherwise(F.format_string("%.0f fps", F.lit(FPS_NUM / FPS_DEN) / hold))
+    return F.concat(shown, F.lit(", colour at "), F.bround(chroma * 100).cast("int").cast("string"), F.lit("%"))
+
+
+def pages_per_frame(delta: Column) -> Column:
+    """Pages that a rate register advances a frame, as a reduced fraction: struct(pages, frames); 0/1 for a register of 0 or less.
+
+    Two samples share a byte. The constant part is reduced here, so a row's divisor is one of the few of its denominator.
+    """
+    up, down = CHIP_NUM * FPS_DEN, CHIP_DEN * UNITY * 2 * PAGE_BYTES * FPS_NUM
+    up, down = up // math.gcd(up, down), down // math.gcd(up, down)
+    divisors = F.array(*(F.lit(n).cast("long") for n in range(1, down + 1) if down % n == 0))
+    common = F.array_max(F.filter(divisors, lambda n: (delta * up) % n == 0))
+    known = delta > 0
+    return F.struct(F.when(known, whole(delta * up / common)).otherwise(F.lit(0).cast("long")).alias("pages"), F.when(known, whole(F.lit(down) / common)).otherwise(F.lit(1).cast("long")).alias("frames"))
+
+
+def audio_grade(hz: Column, steps: int = 35, most: float = 55555.0, least: float = 8000.0) -> Column:
+    """Where a sample rate stands on a ladder of equal ratios, 1 for the most."""
+    place = F.bround(F.log(F.lit(most) / F.greatest(hz, F.lit(least))) * (steps - 1) / math.log(most / least))
+    return F.when(hz >= most, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(steps), (place + 1).cast("int"))))

@@ -108,3 +108,17 @@ def epoch_slots(counts: DataFrame, epoch: str, value: str, weight: str, base: in
     half = capacity // 2
     slot = F.col("_place") + base + F.when(F.col("_several"), F.col(epoch) % 2 * half).otherwise(F.lit(0))
     return rows.where(~F.col("_several") | (F.col("_place") < half)).select(epoch, value, weight, slot.alias("slot"))
+
+
+def scene_cuts(cells: DataFrame, frame: str, slot: str, moved: str, floor: float, ratio: float) -> DataFrame:
+    """(frame, share, cut): the share of all slots that moved further than floor; a cut from ratio on, and at the first frame."""
+    every = cells.agg(F.countDistinct(slot).alias("_slots"), F.min(frame).alias("_first"))  # one row
+    share = cells.groupBy(frame).agg(F.count_if(F.col(moved) > floor).alias("_n")).join(F.broadcast(every))
+    moved_share = F.col("_n") / F.col("_slots")
+    return share.select(frame, moved_share.alias("share"), ((F.col(frame) == F.col("_first")) | (moved_share >= ratio)).alias("cut"))
+
+
+def short_gaps(df: DataFrame, scope: str, order: str, marked: Column, floor: int) -> DataFrame:
+    """Marked rows whose next row in the scope comes less than floor after them, with that gap."""
+    nearby = F.lead(order).over(Window.partitionBy(scope).orderBy(order)) - F.col(order)
+    return df.withColumn("gap", nearby).where(marked & (F.col("gap") < floor))

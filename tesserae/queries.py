@@ -56,14 +56,8 @@ def frame_hold(spark, d):
     return change.hold(read(spark, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", "event_type", 4).select("event_id", "user_id", "held")
 
 
-@query("SELECT user_id, max(event_id) AS at, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_id <= 500 GROUP BY user_id")
-def log_replay(spark, d):
-    """STF-6: the state of every slot at frame 500, as its SQL has it; log_replay_whole replays to the last frame."""
-    return change.replay(read(spark, d, "events"), "user_id", "event_id", 500, "event_type", "value")
-
-
 @query("SELECT user_id, max(event_id) AS at, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
-def log_replay_whole(spark, d):
+def log_replay(spark, d):
     """STF-6: the state of every slot at the last frame."""
     events = read(spark, d, "events")
     last = events.agg(F.max("event_id")).first()[0]
@@ -106,8 +100,7 @@ SELECT doc_id, i AS tile_index FROM documents JOIN (SELECT source, text, row_num
 """)
 def dictionary_epochs(spark, d):
     """AGG-2, STF-8: the same content in two scopes counts twice."""
-    docs = read(spark, d, "documents").select("doc_id", "source", F.concat_ws("\0", "source", "text").alias("key"))
-    return change.intern(docs, "key", "doc_id").select("doc_id", "tile_index")
+    return change.intern(read(spark, d, "documents").select("doc_id", "source", "text"), "text", "doc_id", "source").select("doc_id", "tile_index")
 
 
 @query("""
@@ -215,9 +208,8 @@ SELECT vec_id, centre, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITI
 def shortlist(spark, d):
     """JON-5, SRT-2, SRT-3: the k nearest of a codebook, ties to the smaller number."""
     v, book = _descriptors(spark, d)
-    distance = F.aggregate(F.zip_with("v", "cv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = v.join(F.broadcast(book)).groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(distance.alias("distance"), "centre"))), 1, 4).alias("near"))
-    return near.select("vec_id", F.posexplode("near").alias("pos", "x")).select("vec_id", "x.centre", (F.col("pos") + 1).alias("rank"))
+    near = v.select("vec_id", F.posexplode(measure.shortlist(F.col("v"), measure.codebook(book, "centre", "cv"), 4)).alias("pos", "x"))
+    return near.select("vec_id", F.col("x.centre").alias("centre"), (F.col("pos") + 1).alias("rank"))
 
 
 @query("SELECT l_orderkey, l_linenumber, c_name, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -229,10 +221,11 @@ def lookup_join(spark, d):
     return found.join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("l_orderkey", "l_linenumber", "c_name", "n_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def unsettled(spark, d):
-    """JON-15, FLT-8: keys without a reading."""
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """JON-15, FLT-8: keys without a large enough reading."""
+    large = read(spark, d, "orders").where("o_totalprice > 300000").select("o_custkey")
+    return read(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT p_size AS cost, round(exp(CASE WHEN p_size < 10 THEN ln(1.5) + (ln(p_size) - ln(1)) * (ln(12) - ln(1.5)) / (ln(10) - ln(1)) ELSE ln(12) + (ln(p_size) - ln(10)) * (ln(40) - ln(12)) / (ln(50) - ln(10)) END), 6) AS bent FROM part")
@@ -244,9 +237,8 @@ def log_rescale(spark, d):
 @query("SELECT s_suppkey, arg_min(n_nationkey, (abs(s_acctbal - n_nationkey * 400), n_nationkey)) AS n_nationkey FROM supplier JOIN nation ON true GROUP BY s_suppkey")
 def nearest_scalar(spark, d):
     """JON-11, JON-16: the rung with the least difference, the first on ties, of a ladder with a rung for each nation."""
-    rungs = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 400).alias("at"))
-    gap = F.struct(F.abs(F.col("s_acctbal") - F.col("at")), "n_nationkey")
-    return read(spark, d, "supplier").join(F.broadcast(rungs)).groupBy("s_suppkey").agg(F.min_by("n_nationkey", gap).alias("n_nationkey"))
+    rungs = F.array(*(F.struct(F.abs(F.col("s_acctbal") - 400 * r[0]), F.lit(r[0]).alias("rung")) for r in read(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").limit(1000).collect()))
+    return read(spark, d, "supplier").select("s_suppkey", F.array_min(rungs)["rung"].alias("n_nationkey"))
 
 
 # Measurement.
@@ -387,11 +379,13 @@ def slot_words(spark, d):
     return rows.where(back).select("l_orderkey", "l_linenumber", "address", "word")
 
 
-@query("SELECT e.i::INT AS i, (list_position([0,32,8,40,2,34,10,42, 48,16,56,24,50,18,58,26, 12,44,4,36,14,46,6,38, 60,28,52,20,62,30,54,22, 3,35,11,43,1,33,9,41, 51,19,59,27,49,17,57,25, 15,47,7,39,13,45,5,37, 63,31,55,23,61,29,53,21], e.i) - 1)::INT AS place FROM range(64) AS e(i)")
+# The 8 x 8 ordered matrix.
+@query("SELECT e.i::INT AS i, (e.i + 0.5::DOUBLE) / 64 AS threshold, (list_position([0,32,8,40,2,34,10,42, 48,16,56,24,50,18,58,26, 12,44,4,36,14,46,6,38, 60,28,52,20,62,30,54,22, 3,35,11,43,1,33,9,41, 51,19,59,27,49,17,57,25, 15,47,7,39,13,45,5,37, 63,31,55,23,61,29,53,21], e.i) - 1)::INT AS place FROM range(64) AS e(i)")
 def bayer_matrix(spark, d):
-    """PRJ-20: where each threshold of the 8 x 8 matrix stands."""
+    """PRJ-20: the thresholds of the 8 x 8 matrix, each in the middle of its step, and where they stand."""
     cells = spark.range(64).select((F.col("id") / 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col"))
-    return cells.select((scalars.bayer(F.col("row"), F.col("col")) * 64).cast("int").alias("i"), (F.col("row") * 8 + F.col("col")).alias("place"))
+    threshold = scalars.bayer(F.col("row"), F.col("col"))
+    return cells.select((threshold * 64).cast("int").alias("i"), threshold.alias("threshold"), (F.col("row") * 8 + F.col("col")).alias("place"))
 
 
 @query("SELECT p_partkey, CASE WHEN m >= 60 THEN printf('%d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60) ELSE printf('%d:%02d', t // 60, t % 60) END AS clock FROM (SELECT p_partkey, p_retailprice / 20 AS m, round_even(p_retailprice / 20 * 60, 0)::BIGINT AS t FROM part)")
@@ -436,19 +430,6 @@ def subtitle_rows(spark, d):
     return t.select("conv_id", "turn", scalars.strip_markup(F.col("line")).alias("plain"), scalars.centred(F.col("line")).alias("centred"))
 
 
-@query("""
-SELECT doc_id, 3600 * (doc_id % 3) + 60 * (doc_id % 60) + doc_id % 59 + (doc_id % 10) / 10 AS start, [s] AS lines
-FROM (SELECT doc_id, trim(regexp_extract(text, '^[A-Za-z]+')) AS s FROM documents) WHERE s <> ''
-""")
-def subtitle_cues(spark, d):
-    """SRC-11, PRJ-23: a cue of each text's first word, as its SQL has it; subtitle_cues_whole reads whole texts."""
-    i = F.col("doc_id")
-    stamp = F.format_string("%02d:%02d:%02d,%d", i % 3, i % 60, i % 59, i % 10)
-    body = F.regexp_extract("text", "^[A-Za-z]+", 0)
-    texts = read(spark, d, "documents").select("doc_id", F.concat(F.lit("1\n"), stamp, F.lit(" --> "), stamp, F.lit("\n<i>"), body, F.lit("</i>\n\nnothing timed")).alias("srt"))
-    return stores.cues(texts, "doc_id", "srt").select("doc_id", "start", "lines")
-
-
 def _subtitle_texts(spark, d):
     """Whole documents as SubRip texts, every two lines a cue."""
     part = lambda t: F.format_string("%02d:%02d:%02d,%d", F.floor(t / 3600), F.floor(t / 60) % 60, t % 60, F.col("doc_id") % 10)
@@ -465,7 +446,7 @@ c AS (SELECT doc_id, rs, unnest(range((len(rs) + 1) // 2)) AS cue FROM r),
 l AS (SELECT doc_id, cue, list_filter(list_transform(rs[2 * cue + 1:2 * cue + 2], lambda x: trim(regexp_replace(x, '<[^>]+>|\\{[^}]*\\}', '', 'g'), ' ')), lambda x: x <> '') AS lines FROM c)
 SELECT doc_id, cue::INT AS cue, 2 * cue + (doc_id % 10) / 10 AS start, 2 * cue + 1 + (doc_id % 10) / 10 AS "end", lines FROM l WHERE len(lines) > 0
 """)
-def subtitle_cues_whole(spark, d):
+def subtitle_cues(spark, d):
     """SRC-11, PRJ-23: cues of whole texts, every two lines a cue."""
     return stores.cues(_subtitle_texts(spark, d), "doc_id", "srt")
 
@@ -507,20 +488,13 @@ def content_keys(spark, d):
     return read(spark, d, "documents").select("doc_id", scalars.content_key(F.col("text"), F.octet_length("text"), F.col("lang")).alias("key"))
 
 
-@query("SELECT vec_id, list_sum(list_transform(range(16), lambda i: ((floor(embedding[i + 1]::DOUBLE * 64)::BIGINT + 1024) % 16 & 1) << i))::BIGINT AS plane0, list_sum(list_transform(range(16), lambda i: (((floor(embedding[i + 1]::DOUBLE * 64)::BIGINT + 1024) % 16 >> 3) & 1) << i))::BIGINT AS plane3 FROM embeddings")
-def bit_planes(spark, d):
-    """PRJ-14, PRJ-19: two planes of the first 16 values, as its SQL has it; bit_planes_whole gives all planes of all values."""
-    nibbles = F.transform(F.slice("embedding", 1, 16), lambda x: (F.floor(x.cast("double") * 64) + 1024) % 16)
-    return read(spark, d, "embeddings").select("vec_id", scalars.planes(nibbles, 0).alias("plane0"), scalars.planes(nibbles, 3).alias("plane3"))
-
-
 @query(f"""
 WITH n AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: (floor(x::DOUBLE * 64)::BIGINT + 1024) % 16)) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 b AS (SELECT *, CASE WHEN i % 64 = 63 THEN (-9223372036854775808)::HUGEINT ELSE (1::HUGEINT << (i % 64)::HUGEINT) END AS bit FROM n),
 w AS (SELECT vec_id, i // 64 AS w, {", ".join(f"sum(bit * ((v >> {k}) & 1))::BIGINT AS p{k}" for k in range(4))} FROM b GROUP BY ALL)
 SELECT vec_id, {", ".join(f"list(p{k} ORDER BY w) AS plane{k}" for k in range(4))} FROM w GROUP BY vec_id
 """)
-def bit_planes_whole(spark, d):
+def bit_planes(spark, d):
     """PRJ-14, PRJ-19: the four planes of all values, a word for every 64."""
     e = read(spark, d, "embeddings").where(F.size("embedding") > 0)
     e = e.select("vec_id", F.transform("embedding", lambda x: (F.floor(x.cast("double") * 64) + 1024) % 16).alias("nibbles"))
@@ -529,16 +503,8 @@ def bit_planes_whole(spark, d):
     return e.select("vec_id", *(plane(k).alias(f"plane{k}") for k in range(4)))
 
 
-@query("SELECT vec_id, i // 4 AS tile, list(v ORDER BY i) AS px FROM (SELECT vec_id, unnest(range(16)) AS i, unnest(list_transform(embedding[1:16], lambda x: floor(x::DOUBLE * 64)::BIGINT)) AS v FROM embeddings) GROUP BY vec_id, i // 4")
-def tile_split(spark, d):
-    """PRJ-11: the first 16 cells in tiles, as its SQL has it; tile_split_whole splits all."""
-    px = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64))
-    tiles = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.slice(px, t * 4 + 1, F.lit(4)))
-    return read(spark, d, "embeddings").select("vec_id", F.posexplode(tiles).alias("tile", "px")).withColumn("tile", F.col("tile").cast("long"))
-
-
 @query("SELECT vec_id, i // 4 AS tile, list(v ORDER BY i) AS px FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT)) AS v FROM embeddings) GROUP BY vec_id, i // 4")
-def tile_split_whole(spark, d):
+def tile_split(spark, d):
     """PRJ-11: all cells in tiles of four, the last one shorter if need be."""
     e = read(spark, d, "embeddings").where(F.size("embedding") > 0)
     e = e.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("cells"))
@@ -585,7 +551,8 @@ def thin_sample(spark, d):
 @query()
 def spread_choice(spark, d):
     """AGG-16: eight settings spread evenly over the logarithm of cost."""
-    points = [(float(r["p_size"]), r["p_retailprice"]) for r in measure.frontier(read(spark, d, "part").select("p_size", "p_retailprice"), "p_size", "p_retailprice").orderBy(F.desc("p_size")).collect()]
+    settings = read(spark, d, "part").groupBy("p_size").agg((F.lit(2000.0) / F.col("p_size") + F.min("p_retailprice") / 1000).alias("error"))
+    points = [(float(r["p_size"]), r["error"]) for r in measure.frontier(settings, "p_size", "error").orderBy(F.desc("p_size")).collect()]  # a row a setting
     return spark.createDataFrame(measure.choose(points, 8), "cost double, error double")
 
 
@@ -658,18 +625,8 @@ def epoch_preload(spark, d):
     return preload(epochs, 130).select("epoch", "frame", "first", "n")
 
 
-@query("""
-WITH c AS (SELECT event_id AS frame, value > 300 AS cut FROM events WHERE event_id % 10 = 0)
-SELECT frame, (SELECT count(*) FROM c b WHERE b.cut AND b.frame <= c.frame) AS epoch FROM c
-""")
-def epoch_buckets(spark, d):
-    """AGG-18: every tenth event by its epoch, cuts counted among these only, as its SQL has it; epoch_buckets_whole counts all."""
-    samples = read(spark, d, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("frame"), (F.col("value") > 300).cast("long").alias("cut"))
-    return ordered.running_sum(samples, "frame", F.col("cut"), "epoch").select("frame", "epoch")
-
-
 @query("SELECT event_id AS frame, (sum(coalesce((value > 300)::INT, 0)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS epoch FROM events")
-def epoch_buckets_whole(spark, d):
+def epoch_buckets(spark, d):
     """AGG-18: every event by the epoch it falls in."""
     events = read(spark, d, "events").select(F.col("event_id").alias("frame"), F.coalesce((F.col("value") > 300).cast("long"), F.lit(0)).alias("cut"))
     return ordered.running_sum(events, "frame", F.col("cut"), "epoch").select("frame", "epoch")
@@ -776,15 +733,8 @@ def archive_listing(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha1("text").alias("sha1"), size.alias("bytes"), (F.greatest(F.floor((size + 255) / 256), F.lit(1)) * 256).alias("padded"))
 
 
-@query("SELECT vec_id, list_transform(range(16), lambda i: CASE WHEN i % 2 = 0 THEN floor(embedding[i // 2 + 1]::DOUBLE * 64) ELSE floor(embedding[i // 2 + 9]::DOUBLE * 64) END::BIGINT) AS woven FROM embeddings")
-def interleave(spark, d):
-    """SNK-6, SNK-12: components 1-8 and 9-16 woven, as its SQL has it; interleave_whole weaves the halves of the whole."""
-    half = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: F.floor(x.cast("double") * 64))
-    return read(spark, d, "embeddings").select("vec_id", F.flatten(F.zip_with(half(1), half(9), lambda a, b: F.array(a, b))).alias("woven"))
-
-
 @query("SELECT vec_id, list_transform(range((len(embedding) + 1) // 2 * 2), lambda i: coalesce(floor(embedding[CASE WHEN i % 2 = 0 THEN i // 2 + 1 ELSE i // 2 + 1 + (len(embedding) + 1) // 2 END]::DOUBLE * 64)::BIGINT, 0)) AS woven FROM embeddings")
-def interleave_whole(spark, d):
+def interleave(spark, d):
     """SNK-6, SNK-12: the two halves of the whole woven element by element, an odd end padded with 0."""
     cells = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64))
     e = read(spark, d, "embeddings").select("vec_id", cells.alias("cells"), F.floor((F.size("embedding") + 1) / 2).cast("int").alias("half"))
@@ -792,21 +742,13 @@ def interleave_whole(spark, d):
     return e.select("vec_id", F.flatten(halves).alias("woven"))
 
 
-@query("SELECT 'a' AS part, event_id AS frame, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events WHERE event_id BETWEEN 100 AND 199 UNION ALL SELECT 'b', event_id, 100 + row_number() OVER (ORDER BY event_id) - 1 FROM events WHERE event_id BETWEEN 700 AND 749")
-def joined_windows(spark, d):
-    """SET-1, SRT-6: two short clips end to end, as its SQL has it; joined_windows_whole takes shares of the table."""
-    e = read(spark, d, "events").select(F.col("event_id").alias("frame"))
-    clips = e.where("frame between 100 and 199").withColumn("part", F.lit("a")).unionByName(e.where("frame between 700 and 749").withColumn("part", F.lit("b")))
-    return ordered.numbered(clips, "frame", "n").select("part", "frame", "n")
-
-
 @query("""
 WITH b AS (SELECT min(event_id) AS lo, max(event_id) - min(event_id) + 1 AS n FROM events)
 SELECT part, frame, row_number() OVER (ORDER BY frame) - 1 AS n FROM (
     SELECT CASE WHEN event_id - lo < n // 2 THEN 'a' ELSE 'b' END AS part, event_id AS frame FROM events, b
     WHERE (event_id - lo >= n // 10 AND event_id - lo < n // 2) OR (event_id - lo >= n * 7 // 10 AND event_id - lo < n))
 """)
-def joined_windows_whole(spark, d):
+def joined_windows(spark, d):
     """SET-1, SRT-6: clips of the second to fifth and the last three tenths of the table's frames, with new frame numbers."""
     e = read(spark, d, "events").select(F.col("event_id").alias("frame"))
     low, high = e.agg(F.min("frame"), F.max("frame")).first()
@@ -970,3 +912,127 @@ def listing_sections(spark, d):
     head = F.concat(F.lit("Disassembly of section s"), F.floor(F.col("n") / 20).cast("string"), F.lit(":"))
     lines = read(spark, d, "events").select("user_id", "event_id", "event_type", n.alias("n")).select("user_id", "event_id", F.when(F.col("n") % 20 == 0, head).otherwise(code).alias("line"))
     return listings.disassembly(lines, "user_id", "event_id", "line").where("section is not null").select("user_id", "event_id", "section", "address", "mnemonic", "operands")
+
+
+# Cuts, matches, plans and tiles.
+
+
+@query("""
+WITH m AS (SELECT event_id // 500 AS frame, user_id AS slot, avg(value) AS v FROM events GROUP BY ALL),
+c AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY slot ORDER BY frame)) AS moved FROM m),
+n AS (SELECT count(DISTINCT user_id) AS slots FROM events)
+SELECT frame, count(*) FILTER (moved > 20) / any_value(slots) AS share, frame = (SELECT min(frame) FROM c) OR count(*) FILTER (moved > 20) / any_value(slots) >= 0.1 AS cut FROM c, n GROUP BY frame
+""")
+def scene_cuts(spark, d):
+    """FLT-4: frames in which a share of all slots moved beyond a floor; the first frame is a cut."""
+    cells = read(spark, d, "events").groupBy(F.floor(F.col("event_id") / 500).alias("frame"), F.col("user_id").alias("slot")).agg(F.avg("value").alias("v"))
+    moved = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy("slot").orderBy("frame")))
+    return change.scene_cuts(cells.withColumn("moved", moved), "frame", "slot", "moved", floor=20, ratio=0.1)
+
+
+@query("""
+WITH s AS (SELECT capture, s_suppkey AS frame, round(abs(s_acctbal - capture * 400) / 25) AS error FROM supplier, range(25) AS r(capture)),
+b AS (SELECT capture, min(error) AS least, arg_min(frame, (error, frame)) AS best FROM s GROUP BY capture),
+t AS (SELECT s.*, least, best, error > least AS off FROM s JOIN b USING (capture)),
+e AS (SELECT capture, max(frame) FILTER (off AND frame < best) AS low, min(frame) FILTER (off AND frame > best) AS high FROM t GROUP BY capture),
+r AS (SELECT capture, arg_min(frame, (error, frame)) AS rival, min(error) AS rival_error FROM t JOIN e USING (capture) WHERE frame <= low OR frame >= high GROUP BY capture)
+SELECT b.capture, best, least AS error, rival, rival_error - least AS margin, least <= 10 AND coalesce(rival_error - least >= 1, true) AS accepted FROM b LEFT JOIN r USING (capture)
+""")
+def best_match(spark, d):
+    """JON-16, SET-3: the frame of least error for each of 25 captures, the best rival outside its tie run, and whether it is told apart."""
+    error = F.round(F.abs(F.col("s_acctbal") - F.col("capture") * 400) / 25)
+    scored = read(spark, d, "supplier").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("capture"), F.col("s_suppkey").alias("frame"), "s_acctbal")
+    return measure.best_match(scored.select("capture", "frame", error.alias("error")), "capture", "frame", "error", most_error=10, least_margin=1)
+
+
+@query("""
+WITH d AS (SELECT s_suppkey, s_acctbal, list_sort(list_transform(range(25), lambda i: {'gap': abs(s_acctbal - i * 400), 'i': i})) AS p FROM supplier),
+b AS (SELECT s_suppkey, p[1].i AS nearest, p[2].i AS runner, CASE WHEN p[1].gap + p[2].gap > 0 THEN round_even(255 * p[1].gap / (p[1].gap + p[2].gap), 0) ELSE 0 END::INT AS share FROM d),
+t AS (SELECT *, (list_extract([0,32,8,40,2,34,10,42, 48,16,56,24,50,18,58,26, 12,44,4,36,14,46,6,38, 60,28,52,20,62,30,54,22, 3,35,11,43,1,33,9,41, 51,19,59,27,49,17,57,25, 15,47,7,39,13,45,5,37, 63,31,55,23,61,29,53,21], s_suppkey % 64 + 1) + 0.5::DOUBLE) / 64 * 255 AS threshold FROM b)
+SELECT s_suppkey, nearest::INT AS nearest, runner::INT AS runner, share, CASE WHEN share > threshold THEN runner ELSE nearest END::INT AS shown FROM t
+""")
+def blended_rungs(spark, d):
+    """SRT-2, PRJ-20: the two nearest of a palette, the share of the second, and the one that ordered dither shows."""
+    place = F.col("s_suppkey").cast("int") % 64
+    mix = measure.two_nearest(F.col("s_acctbal"), [400.0 * i for i in range(25)])
+    rows = read(spark, d, "supplier").select("s_suppkey", mix.alias("m"), (scalars.bayer(F.floor(place / 8).cast("int"), place % 8) * measure.MIX_SCALE).alias("threshold"))
+    return rows.select("s_suppkey", "m.nearest", "m.runner", "m.share", F.when(F.col("m.share") > F.col("threshold"), F.col("m.runner")).otherwise(F.col("m.nearest")).alias("shown"))
+
+
+_LADDER = [(f"q{i + 1:02d}", 1 + i // 4, 1.0 - 0.05 * (i % 4), round(0.85**i, 6)) for i in range(16)]
+
+
+@query(f"""
+WITH l AS (SELECT [{", ".join(f"{{'name': '{n}', 'hold': {h}, 'chroma': {c}::DOUBLE, 'cost': {r}::DOUBLE}}" for n, h, c, r in _LADDER)}] AS rungs),
+s AS (SELECT p_partkey, p_size::DOUBLE AS minutes, p_retailprice * 40 AS rate, 12.0::DOUBLE + p_partkey % 40 AS fps FROM part),
+f AS (SELECT s.*, list_filter(rungs, lambda x: x.hold <= 1 OR {FPS}::DOUBLE / x.hold < fps) AS open FROM s, l),
+g AS (SELECT *, list_filter(open, lambda x: minutes <= 1048576 / (rate * x.cost) * 0.92)[1] AS rung FROM f)
+SELECT p_partkey, len(open)::INT AS reachable, rung.name AS rung, CASE WHEN rung.hold = 1 THEN 'every frame, colour at ' ELSE printf('%.0f', {FPS}::DOUBLE / rung.hold) || ' fps, colour at ' END || round(rung.chroma * 100)::INT || '%' AS label FROM g
+""")
+def first_fitting_rung(spark, d):
+    """FLT-5, SRT-4, PRJ-37, PRJ-42, JON-14: of the rungs that a source's rate can reach, the first that fits its runtime, with its label."""
+    ladder = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(h).alias("hold"), F.lit(c).alias("chroma"), F.lit(r).alias("cost")) for n, h, c, r in _LADDER))
+    minutes, rate, fps = F.col("p_size").cast("double"), F.col("p_retailprice") * 40, F.lit(12.0) + F.col("p_partkey") % 40
+    open_ = F.filter(ladder, lambda x: scalars.reachable(x["hold"], fps))
+    rung = F.get(F.filter(open_, lambda x: scalars.fits(minutes, scalars.most_minutes(rate * x["cost"]))), 0)
+    return read(spark, d, "part").select("p_partkey", F.size(open_).alias("reachable"), rung["name"].alias("rung"), scalars.rung_label(rung["hold"], rung["chroma"]).alias("label"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey * 37 % 70000 - 5 AS delta, p_retailprice * 40 AS hz FROM part)
+SELECT p_partkey, CASE WHEN delta > 0 THEN delta * 11 // gcd(delta * 11, 393216) ELSE 0 END AS pages, CASE WHEN delta > 0 THEN 393216 // gcd(delta * 11, 393216) ELSE 1 END AS frames,
+       greatest(1, least(35, 1 + CASE WHEN hz >= 55555 THEN 0 ELSE round_even(34 * ln(55555 / greatest(hz, 8000)) / ln(55555.0 / 8000), 0) END))::INT AS grade FROM p
+""")
+def audio_pages(spark, d):
+    """PRJ-32, PRJ-34: pages a frame of a rate register as an exact fraction, and a sample rate's grade on a ladder of 35."""
+    delta, hz = F.col("p_partkey") * 37 % 70000 - 5, F.col("p_retailprice") * 40
+    pages = scalars.pages_per_frame(delta)
+    return read(spark, d, "part").select("p_partkey", pages["pages"].alias("pages"), pages["frames"].alias("frames"), scalars.audio_grade(hz).alias("grade"))
+
+
+@query("""
+WITH n AS (SELECT vec_id, list_transform(range(256), lambda k: (floor(embedding[(k * 5 + k // 16) % len(embedding) + 1]::DOUBLE * 64)::BIGINT + 1024) % 16) AS px FROM embeddings WHERE len(embedding) > 0),
+b AS (SELECT vec_id, px, list_transform(range(128), lambda j: list_sum(list_transform(range(8), lambda k: ((px[j % 64 % 32 // 2 * 16 + CASE WHEN j % 64 < 32 THEN 8 ELSE 0 END + k + 1] >> (j // 64 * 2 + j % 2)) & 1) << k))) AS bytes FROM n)
+SELECT vec_id, array_to_string(list_transform(bytes[1:64], lambda x: printf('%02X', x::BIGINT)), '') AS c1, array_to_string(list_transform(bytes[65:128], lambda x: printf('%02X', x::BIGINT)), '') AS c2,
+       true AS again, list_transform(range(16), lambda x: px[255 - x + 1]) AS last_row_flipped FROM b
+""")
+def packed_tiles(spark, d):
+    """PRJ-14, PRJ-19: tiles of 16 x 16 values of 4 bits in two halves of 64 bytes, read back, and fetched with both flips."""
+    px = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: (F.floor(F.element_at("embedding", (((k * 5 + F.floor(k / 16).cast("int")) % F.size("embedding")) + 1).cast("int")).cast("double") * 64) + 1024) % 16)
+    tiles = read(spark, d, "embeddings").where(F.size("embedding") > 0).select("vec_id", px.alias("px"))
+    packed = tiles.withColumn("tile", stores.packed_tile(F.col("px")))
+    back = packed.withColumn("back", stores.unpacked_tile(F.col("tile.c1"), F.col("tile.c2")))
+    flipped = stores.flipped_tile(F.col("back"), True, True)
+    return back.select("vec_id", F.hex("tile.c1").alias("c1"), F.hex("tile.c2").alias("c2"), (F.col("back") == F.col("px")).alias("again"), F.slice(flipped, 1, 16).alias("last_row_flipped"))
+
+
+@query("""
+WITH v AS (SELECT label, unnest(list_transform(embedding, lambda x: floor(16 * x::DOUBLE)::BIGINT & 32767)) AS c FROM embeddings),
+r AS (SELECT label, c, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, c) AS place FROM v GROUP BY label, c),
+w AS (SELECT label, '0000' || string_agg(printf('%04X', c), '' ORDER BY place) AS words FROM r WHERE place <= 15 GROUP BY label)
+SELECT label, rpad(words, 64, '0') AS blob, row_number() OVER (ORDER BY label) + 15 AS bank FROM w
+""")
+def palette_blobs(spark, d):
+    """SNK-2, PRJ-22: each cluster's palette as 16 big-endian words, the first 0, and the bank that it is loaded to."""
+    values = read(spark, d, "embeddings").select("label", F.explode(F.transform("embedding", lambda x: F.floor(x.cast("double") * 16).bitwiseAND(32767))).alias("c"))
+    counts = values.groupBy("label", "c").agg(F.count("*").alias("n"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("most"), "c"))), 1, 15)  # 32,768 colours at most
+    palettes = counts.groupBy("label").agg(best["c"].alias("colours"))
+    found = ordered.numbered(palettes, "label", "place")
+    return found.select("label", F.hex(stores.palette_blob(F.col("colours"))).alias("blob"), (F.col("place") + 16).alias("bank"))
+
+
+@query("SELECT doc_id, sha256(encode(coalesce(text, '')) || repeat('\x08'::BLOB, ((4096 - strlen(coalesce(text, '')) % 4096) % 4096)::BIGINT)) AS sha256, (strlen(coalesce(text, '')) + 4095) // 4096 * 4096 AS bytes FROM documents")
+def voice_roms(spark, d):
+    """SNK-7: blobs filled to whole pages with the silent byte; one beyond the chip's space is an error."""
+    blob = stores.filled_rom(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 4096)
+    return read(spark, d, "documents").select("doc_id", F.sha2(blob, 256).alias("sha256"), F.octet_length(blob).cast("long").alias("bytes"))
+
+
+@query("""
+SELECT user_id, event_id, next - event_id AS gap FROM (SELECT user_id, event_id, event_type, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events)
+WHERE event_type = 'click' AND next - event_id < 400
+""")
+def gap_violations(spark, d):
+    """WIN-14: writes whose next access comes before the floor."""
+    return change.short_gaps(read(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "click", 400).select("user_id", "event_id", "gap")

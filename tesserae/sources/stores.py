@@ -66,3 +66,57 @@ def glyph_tile(nibbles: Column) -> Column:
     pair = lambda at: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.concat(*(F.hex(F.element_at(nibbles, y * 8 + k).cast("long").bitwiseAND(15)) for k in (at + 2, at + 1))))
     ordered = sorted(range(4), key=COLUMN_PAIRS.__getitem__)
     return F.when(F.size(nibbles) == 64, F.unhex(F.concat_ws("", *(pair(2 * p) for p in ordered))))
+
+
+def _bytes(values: Column) -> Column:
+    """An array of values from 0 to 255 as binary."""
+    return F.unhex(F.array_join(F.transform(values, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
+
+
+def palette_blob(colours: Column) -> Column:
+    """Up to 15 colours as 16 big-endian words; the first word, and those without a colour, are 0."""
+    return F.unhex(F.rpad(F.concat(F.lit("0000"), F.array_join(F.transform(colours, lambda c: F.lpad(F.hex(c.cast("long")), 4, "0")), "")), 64, "0"))
+
+
+def filled_rom(blob: Column, page: int, most: int = 16 << 20, fill: str = "08") -> Column:
+    """blob filled to whole pages; an error beyond `most` bytes."""
+    size = F.octet_length(blob)
+    short = F.pmod(-size, F.lit(page))
+    filled = F.concat(blob, F.unhex(F.repeat(F.lit(fill), short)))
+    return F.when(size <= most, filled).otherwise(F.raise_error(F.concat(F.lit("a sample of "), size.cast("string"), F.lit(f" bytes is beyond {most}"))).cast("binary"))
+
+
+def packed_tile(px: Column) -> Column:
+    """256 values of 4 bits, row by row, in two halves of 64 bytes: struct(c1, c2).
+
+    A half holds two planes, interleaved by row; its first 32 bytes are the right eight columns. The leftmost pixel is the lowest bit.
+    """
+    k = F.sequence(F.lit(0), F.lit(7))
+
+    def half(plane: int) -> Column:
+        def one(j: Column) -> Column:
+            first = F.floor(j % 32 / 2).cast("int") * 16 + F.when(j < 32, 8).otherwise(0)
+            bit = lambda a, i: a + F.call_function("shiftleft", F.call_function("shiftright", F.get(px, first + i).cast("int"), (j % 2 + plane).cast("int")).bitwiseAND(1), i)
+            return F.aggregate(k, F.lit(0), bit)
+
+        return _bytes(F.transform(F.sequence(F.lit(0), F.lit(63)), one))
+
+    return F.struct(half(0).alias("c1"), half(2).alias("c2"))
+
+
+def unpacked_tile(c1: Column, c2: Column) -> Column:
+    """The 256 values of a packed tile."""
+
+    def pixel(n: Column) -> Column:
+        row, col = F.floor(n / 16).cast("int"), n % 16
+        first = row * 2 + F.when(col >= 8, 0).otherwise(32)
+        bits = [F.shiftleft(F.call_function("shiftright", from_big_endian(c, first + odd, 1).cast("int"), (col % 8).cast("int")).bitwiseAND(1), plane + odd) for c, plane in ((c1, 0), (c2, 2)) for odd in (0, 1)]
+        return (bits[0] + bits[1] + bits[2] + bits[3]).cast("long")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(255)), pixel)
+
+
+def flipped_tile(px: Column, across: bool, down: bool, side: int = 16) -> Column:
+    """The values of a square tile as they are fetched with flips."""
+    turn = (side - 1 if across else 0) + (side * (side - 1) if down else 0)
+    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda n: F.get(px, n.bitwiseXOR(F.lit(turn))))

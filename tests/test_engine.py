@@ -236,14 +236,14 @@ def test_chunks_and_blobs(spark, tmp_path):
 def test_cues_of_whole_texts(spark, tmp_path):
     rows = [(3, "Été a < b\ntwo <b>lines</b>\n \nthird {x}1\r\n\n\n<i></i>\n<i></i>\n{y}\n7 last"), (4, "\n 9 zero"), (5, ""), (6, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = queries.QUERIES["subtitle_cues_whole"](spark, str(tmp_path)).orderBy("doc_id", "cue").collect()
+    got = queries.QUERIES["subtitle_cues"](spark, str(tmp_path)).orderBy("doc_id", "cue").collect()
     assert [tuple(r) for r in got] == [(3, 0, 0.3, 1.3, ["Été a < b", "two lines"]), (3, 1, 2.3, 3.3, ["third 1"]), (3, 3, 6.3, 7.3, ["7 last"]), (4, 0, 0.4, 1.4, ["9 zero"])]
 
 
 def test_epochs_count_every_cut(spark, tmp_path):
     rows = [(i, 400.0 if i % 10 == 3 else 1.0 if i else None) for i in range(95)]
     spark.createDataFrame(rows, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r["frame"]: r["epoch"] for r in queries.QUERIES["epoch_buckets_whole"](spark, str(tmp_path)).collect()}
+    got = {r["frame"]: r["epoch"] for r in queries.QUERIES["epoch_buckets"](spark, str(tmp_path)).collect()}
     assert got == {i: (i + 7) // 10 for i in range(95)}
 
 
@@ -301,12 +301,12 @@ def test_vectors_are_used_whole(spark, tmp_path):
     cells = [(i * 5) % 16 for i in range(67)]
     spark.createDataFrame([(1, [c / 64 for c in cells])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     run = lambda name: queries.QUERIES[name](spark, str(tmp_path))
-    row = run("bit_planes_whole").first()
+    row = run("bit_planes").first()
     words = [[row[f"plane{k}"][w] % 2**64 for k in range(4)] for w in range(2)]
     assert [sum((words[i // 64][k] >> i % 64 & 1) << k for k in range(4)) for i in range(67)] == cells
-    tiles = [list(r["px"]) for r in run("tile_split_whole").orderBy("tile").collect()]
+    tiles = [list(r["px"]) for r in run("tile_split").orderBy("tile").collect()]
     assert len(tiles) == 17 and sum(tiles, []) == cells
-    woven = run("interleave_whole").first()["woven"]
+    woven = run("interleave").first()["woven"]
     assert woven[::2] + woven[1::2] == [*cells, 0]
 
 
@@ -339,7 +339,54 @@ def test_nibbles_are_rendered(spark):
 def test_frames_bound_by_the_table(spark, tmp_path):
     rows = [(i, i % 7, "a" if i < 900 else "b", float(i)) for i in range(1000, 3000)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
-    state = {r["user_id"]: r["at"] for r in queries.QUERIES["log_replay_whole"](spark, str(tmp_path)).collect()}
+    state = {r["user_id"]: r["at"] for r in queries.QUERIES["log_replay"](spark, str(tmp_path)).collect()}
     assert state == {i % 7: i for i in range(1000, 3000)}
-    got = [tuple(r) for r in queries.QUERIES["joined_windows_whole"](spark, str(tmp_path)).orderBy("n").collect()]
+    got = [tuple(r) for r in queries.QUERIES["joined_windows"](spark, str(tmp_path)).orderBy("n").collect()]
     assert got == [("a" if f < 2000 else "b", f, n) for n, f in enumerate([*range(1200, 2000), *range(2400, 3000)])]
+
+
+def test_choose_equals_plain_greedy():
+    rng = random.Random(11)
+    for _ in range(60):
+        costs = sorted({rng.randint(1, 500) for _ in range(rng.randint(2, 40))}, reverse=True)
+        points, count = [(float(c), 0.0) for c in costs], rng.randint(2, 12)
+        left, taken = list(range(len(points))), []
+        logs = [math.log(c) for c in costs]
+        for k in range(min(count, len(points))):
+            target = logs[0] + (logs[-1] - logs[0]) * k / (count - 1)
+            best = min(left, key=lambda i: (round(abs(logs[i] - target), 12), i))
+            left.remove(best)
+            taken.append(best)
+        wanted = points if len(points) <= count else [points[i] for i in sorted(taken)]
+        assert measure.choose(points, count) == wanted
+
+
+def test_controller_follows_its_law():
+    from tesserae.operators.encode import RateController
+
+    control = RateController(2.0, 100, 50)
+    assert control.tolerance(0, 0) == 2.0
+    assert control.tolerance(90, 1) == pytest.approx(2.0 * min(1.25, 4.5 / (10 / 49)))
+    assert control.tolerance(100, 2) == 2.0 * 4096 and RateController(2.0, 0, 50).tolerance(7, 3) == 2.0
+    eased = RateController(1.0, 1000, 10)
+    eased.scale = 3.0
+    assert eased.tolerance(0, 0) == pytest.approx(2.7) and eased.tolerance(0, 10) == pytest.approx(2.7)
+
+
+def test_match_without_rivals_and_ties(spark):
+    rows = [(1, 0, 5.0), (1, 1, 2.0), (1, 2, 2.0), (1, 3, 6.0), (1, 4, 2.0), (2, 0, 1.0), (2, 1, 1.0), (3, 0, 50.0)]
+    df = spark.createDataFrame(rows, "c long, f long, e double")
+    got = {r["c"]: tuple(r)[1:] for r in measure.best_match(df, "c", "f", "e", 10, 1).collect()}
+    assert got == {1: (1, 2.0, 4, 0.0, False), 2: (0, 1.0, None, None, True), 3: (0, 50.0, None, None, False)}
+
+
+def test_tiles_and_roms(spark):
+    px = [(i * 7) % 16 for i in range(256)]
+    df = spark.createDataFrame([(px, bytearray(b"abc"))], "px array<int>, blob binary")
+    tile = df.select(stores.packed_tile(F.col("px")).alias("t"), "blob").select("t.c1", "t.c2", "blob")
+    row = tile.select("c1", "c2", stores.unpacked_tile(F.col("c1"), F.col("c2")).alias("px"), stores.filled_rom(F.col("blob"), 8).alias("rom")).first()
+    assert row["px"] == px and len(row["c1"]) == len(row["c2"]) == 64 and bytes(row["rom"]) == b"abc" + b"\x08" * 5
+    assert row["c1"][0] == sum((px[8 + k] & 1) << k for k in range(8)) and row["c2"][33] == sum((px[k] >> 3 & 1) << k for k in range(8))
+    assert df.select(stores.flipped_tile(F.col("px"), True, False)).first()[0][:16] == px[:16][::-1]
+    with pytest.raises(Exception, match="beyond"):
+        df.select(stores.filled_rom(F.col("blob"), 8, most=2)).collect()
