@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lean, small_batches
+from .common import roomy, small_batches
 from .pretokens import Vocabulary, split
 from .textkit import slices
 
@@ -243,4 +243,4 @@ def byte_bpe(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids also (ids array, decoded binary); see the module."""
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * ids
-    return docs.select("doc_id", "text").mapInArrow(lean(_encode(path, ids)), schema)
+    return docs.select("doc_id", "text").mapInArrow(roomy(_encode(path, ids)), schema)

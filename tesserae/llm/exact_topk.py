@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, partitions, small_batches
+from .common import partitions, roomy, small_batches
 from .repeats import BLOCK, U, batch, cut, expand, home, squeeze
 from .textkit import mix
 
@@ -238,7 +238,7 @@ def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64
     p = partitions(spark)
     rows, columns = grid(p, every)
     vectors = vectors.select("vec_id", "embedding").where("vec_id is not null")
-    asked = vectors.where(F.col("vec_id") % every == 0).mapInArrow(lean(_asked(scale)), "vec_id long, vector array<long>").groupBy("vec_id", "vector").agg(F.count("*").alias("times"))
-    blocks = vectors.mapInArrow(lean(_candidates(scale, rows, columns)), BLOCK).union(asked.mapInArrow(lean(_queries(rows, columns)), BLOCK))
-    found = blocks.repartitionById(rows * columns, F.col("part")).sortWithinPartitions("kind").mapInArrow(lean(_search(k, p)), BLOCK)
-    return found.repartitionById(p, F.col("part")).mapInArrow(lean(_merge(k)), "query_id long, rank int, vec_id long, score long")
+    asked = vectors.where(F.col("vec_id") % every == 0).mapInArrow(roomy(_asked(scale)), "vec_id long, vector array<long>").groupBy("vec_id", "vector").agg(F.count("*").alias("times"))
+    blocks = vectors.mapInArrow(roomy(_candidates(scale, rows, columns)), BLOCK).union(asked.mapInArrow(roomy(_queries(rows, columns)), BLOCK))
+    found = blocks.repartitionById(rows * columns, F.col("part")).sortWithinPartitions("kind").mapInArrow(roomy(_search(k, p)), BLOCK)
+    return found.repartitionById(p, F.col("part")).mapInArrow(roomy(_merge(k)), "query_id long, rank int, vec_id long, score long")

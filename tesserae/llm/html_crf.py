@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lean, small_batches
+from .common import roomy, small_batches
 
 #: What follows a tag's name: quotes count only where a value starts; one that never ends is text of the value.
 _INSIDE = r"""(?>(?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*)"""
@@ -486,4 +486,4 @@ def html_crf(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(trained())
-    return pages.select("page_id", "url", "html").mapInArrow(lean(_run(model)), "page_id long, url string, text string, n_chars long, n_blocks int, n_main int")
+    return pages.select("page_id", "url", "html").mapInArrow(roomy(_run(model)), "page_id long, url string, text string, n_chars long, n_blocks int, n_main int")

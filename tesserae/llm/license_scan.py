@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lean, small_batches
+from .common import roomy, small_batches
 from .textkit import BYTE_VALUES, LOWER, Spans, U, slices
 
 GRAM, WINDOW, BAND = 12, 6, 8
@@ -209,4 +209,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     """(doc_id, license, begin, end, matched, template_words, coverage), a row for each match; see the module."""
     small_batches(docs.sparkSession)
     index = index_of(TEMPLATES if templates is None else templates)
-    return docs.select("doc_id", "text").mapInArrow(lean(_scan(index, coverage)), "doc_id long, license string, begin long, end long, matched long, template_words long, coverage double")
+    return docs.select("doc_id", "text").mapInArrow(roomy(_scan(index, coverage)), "doc_id long, license string, begin long, end long, matched long, template_words long, coverage double")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lean, partitions, small_batches
+from .common import partitions, roomy, small_batches
 from .repeats import BLOCK, U, batch, beside, bucket_of, covered, cut, deltas, expand, ids_back, marks, meet, reply, squeeze, texts, together, undo
 from .textkit import Spans, owners, word_hashes
 
@@ -120,8 +120,8 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs, p, block = docs.select("doc_id", "text"), partitions(spark), (window + 1) // 2
-    bodies = docs.mapInArrow(lean(texts(p)), BLOCK)
-    anchors = docs.mapInArrow(lean(marks(_marks(block), p)), BLOCK).repartitionById(p, "part").mapInArrow(lean(meet(p, False)), BLOCK)
-    windows = together(anchors, bodies, p).mapInArrow(lean(beside(_windows(window, block, p), U)), BLOCK)
-    repeats = windows.repartitionById(p, "part").mapInArrow(lean(_repeated(p)), BLOCK)
-    return together(repeats, bodies, p).mapInArrow(lean(beside(_kept(window), U)), "doc_id long, n_words long, n_removed long, kept string")
+    bodies = docs.mapInArrow(roomy(texts(p)), BLOCK)
+    anchors = docs.mapInArrow(roomy(marks(_marks(block), p)), BLOCK).repartitionById(p, "part").mapInArrow(roomy(meet(p, False)), BLOCK)
+    windows = together(anchors, bodies, p).mapInArrow(roomy(beside(_windows(window, block, p), U)), BLOCK)
+    repeats = windows.repartitionById(p, "part").mapInArrow(roomy(_repeated(p)), BLOCK)
+    return together(repeats, bodies, p).mapInArrow(roomy(beside(_kept(window), U)), "doc_id long, n_words long, n_removed long, kept string")
