@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, saved, small_batches
+from .common import roomy, saved, small_batches
 from .pretokens import Vocabulary, split
 from .textkit import slices
 
@@ -196,7 +196,7 @@ def best_fit_packing(docs: DataFrame, path: str, capacity: int = 2048) -> DataFr
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece; see the module."""
     spark = docs.sparkSession
     small_batches(spark)
-    pieces = saved(docs.select("doc_id", "text").mapInArrow(lean(_pieces(path, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"))
+    pieces = saved(docs.select("doc_id", "text").mapInArrow(roomy(_pieces(path, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"))
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
@@ -205,4 +205,4 @@ def best_fit_packing(docs: DataFrame, path: str, capacity: int = 2048) -> DataFr
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     numbered = pieces.join(firsts, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("number")).alias("number"))
-    return numbered.mapInArrow(lean(_deal(table)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(roomy(_deal(table)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

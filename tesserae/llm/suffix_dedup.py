@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import lean, partitions, small_batches
+from .common import partitions, roomy, small_batches
 from .repeats import BLOCK, FLUSH, U, batch, beside, bucket_of, cut, ids_back, marks, meet, rank, reply, texts, together
 from .textkit import BYTE_VALUES, Spans, mix
 
@@ -348,9 +348,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, whole_characters: bool = Fal
     small_batches(spark)
     rest, p = docs.select(*carry).schema, partitions(spark)
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, spans array<struct<begin: long, end: long>>, kept binary")
-    bodies = docs.select("doc_id", "text", *carry).mapInArrow(lean(texts(p, bool(carry))), BLOCK)
+    bodies = docs.select("doc_id", "text", *carry).mapInArrow(roomy(texts(p, bool(carry))), BLOCK)
     docs = docs.select("doc_id", "text")
-    candidates = docs.mapInArrow(lean(marks(_marks(length), p)), BLOCK).repartitionById(p, "part").mapInArrow(lean(meet(p, True)), BLOCK)
-    runs = together(candidates, docs.mapInArrow(lean(texts(p)), BLOCK), p).mapInArrow(lean(_evidence(length, p)), BLOCK)
-    repeats = runs.repartitionById(p, "part").mapInArrow(lean(_settle(length, p)), BLOCK)
-    return together(repeats, bodies, p).mapInArrow(lean(beside(_kept(length, whole_characters), U, more=bool(carry))), T.StructType([*schema, *rest]))
+    candidates = docs.mapInArrow(roomy(marks(_marks(length), p)), BLOCK).repartitionById(p, "part").mapInArrow(roomy(meet(p, True)), BLOCK)
+    runs = together(candidates, docs.mapInArrow(roomy(texts(p)), BLOCK), p).mapInArrow(roomy(_evidence(length, p)), BLOCK)
+    repeats = runs.repartitionById(p, "part").mapInArrow(roomy(_settle(length, p)), BLOCK)
+    return together(repeats, bodies, p).mapInArrow(roomy(beside(_kept(length, whole_characters), U, more=bool(carry))), T.StructType([*schema, *rest]))
