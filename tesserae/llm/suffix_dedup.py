@@ -311,13 +311,16 @@ def _kept(length: int, whole_characters: bool):
         value = answers.value[places] if len(places) else np.empty(0, U)
         anchor = (value >> U(32)).astype(np.int64) + np.repeat(offsets[:-1], count)
         first, last = np.repeat(offsets[:-1], count), np.repeat(offsets[1:], count) - length
-        change = np.zeros(n + 1, np.int64)
-        for t in range(length - GRAM + 1):
-            start = anchor - t  # within its text, unless another text has the same doc_id
-            start = start[((value >> U(t)) & U(1) == 1) & (start >= first) & (start <= last)]
-            if len(start):
-                change += np.bincount(start, minlength=n + 1) - np.bincount(start + length, minlength=n + 1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.zeros(n, bool)
+        if len(anchor):
+            starts = []
+            for t in range(length - GRAM + 1):
+                start = anchor - t  # within its text, unless another text has the same doc_id
+                starts.append(start[((value >> U(t)) & U(1) == 1) & (start >= first) & (start <= last)])
+            start = np.concatenate(starts)
+            change = np.bincount(start, minlength=n + 1)
+            change -= np.bincount(start + length, minlength=n + 1)
+            gone = np.cumsum(change[:-1]) > 0
         if whole_characters and n:
             lead = np.flatnonzero((data & 0xC0) != 0x80)
             gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.concatenate([lead, [n]])))
