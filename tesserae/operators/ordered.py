@@ -7,16 +7,36 @@ a range. Within a range rows are ordered by the key and the given tie columns.
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def place(value: Column, cuts: Iterable[float]) -> Column:
+    """How many of the distinct whole parts of cuts are at most value; 0 for null.
+
+    The cuts are one constant in blocks of about the square root of their number: a row is compared with
+    the blocks' first cuts and then within one block, so 20,000 cuts cost some 280 comparisons a row.
+    """
+    known = sorted({min(int(c), (1 << 63) - 1) for c in cuts})
+    if not known:
+        return F.lit(0)
+    width = math.isqrt(len(known) - 1) + 1
+    blocks = [known[i : i + width] for i in range(0, len(known), width)]
+    below = lambda array: F.size(F.filter(array, lambda c: c <= value))
+    block = below(F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<bigint>")) - 1
+    inside = F.get(F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>"), block)
+    return F.when(block < 0, F.lit(0)).otherwise(block * width + below(inside))
+
+
 def ranged(df: DataFrame, key: str, name: str = "_range") -> DataFrame:
     """df with the number of its range of `key`, from 0; nulls are in range 0."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    inside = F.array(*(F.lit(int(c)) for c in cuts)) if cuts else None
-    return df.withColumn(name, F.coalesce(F.size(F.filter(inside, lambda c: c <= F.col(key))), F.lit(0)) if cuts else F.lit(0))
+    cuts = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    return df.withColumn(name, place(F.col(key), cuts))
 
 
 def _carry(parts: DataFrame, value: Column, how) -> DataFrame:

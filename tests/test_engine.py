@@ -75,6 +75,17 @@ def test_running_sum_over_ranges(spark):
         assert got[k] == total
 
 
+def test_place_counts_cuts_at_most_the_value(spark):
+    rng = random.Random(2)
+    values = [None, -(1 << 63), (1 << 63) - 1, 0, *(rng.randint(-9000, 9000) for _ in range(300))]
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    for count in (0, 1, 2, 3, 4, 10, 2000):
+        cuts = [float(rng.randint(-8000, 8000)) for _ in range(count)] + [2.0**63] * (count > 3)
+        known = {min(int(c), (1 << 63) - 1) for c in cuts}
+        got = rows.select("v", ordered.place(F.col("v"), cuts).alias("at")).collect()
+        assert [r["at"] for r in got] == [sum(c <= r["v"] for c in known) if r["v"] is not None else 0 for r in got]
+
+
 def test_replay_equals_play(spark):
     rng = random.Random(19)
     rows = [(f * 4 + s, s, rng.choice("abc")) for f in range(40) for s in range(4)]
