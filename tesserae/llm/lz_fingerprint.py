@@ -20,12 +20,14 @@ columns are ignored. An empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import place
 from .common import lean, partitions, small_batches
 from .textkit import BYTE_VALUES, Spans, mix
 
@@ -126,19 +128,19 @@ def lz_fingerprint(docs: DataFrame) -> DataFrame:
     p = partitions(spark)
     rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rank.alias("rank"))
-    bounds = sorted({int(x) for x in docs.approxQuantile("rank", [i / p for i in range(1, p)], 0.2 / p)}, reverse=True) if p > 1 else []
-    # Range 0 holds the highest ids: ids >= bounds[0].
-    place = F.expr(f"size(filter(array({', '.join(f'{b}L' if b > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for b in bounds)}), lambda_b -> lambda_b > rank))") if bounds else F.lit(0)
-    ranged = docs.withColumn("part", place)
+    cuts = {int(x) for x in docs.approxQuantile("rank", [i / p for i in range(1, p)], 0.2 / p)} if p > 1 else set()
+    ranged = docs.withColumn("part", F.lit(len(cuts)) - place(F.col("rank"), cuts))  # range 0 holds the highest ids
     tops = [tuple(r) for r in ranged.groupBy("part").agg(F.max("rank")).orderBy("part").collect()]
-    guests = {top: tops[i - 1][0] for i, (_, top) in enumerate(tops)}  # to the range before, the first to the last
+    if not tops:
+        return ranged.select("doc_id", "text").mapInArrow(lean(_chain), _SCHEMA)
+    # The first row of a range, the highest id and of several the smallest text, is a guest of the range before it, that of the first range of the last.
+    host = [tops[0][0]] * (len(cuts) + 1)
+    for (before, _), (part, _) in zip([tops[-1], *tops], tops):  # noqa: B905  one more on the left
+        host[part] = before
     own = ranged.withColumn("guest", F.lit(0))
-    # Of several rows with the highest id of a range, the first in order is the guest.
-    lead = own.where(F.col("rank").isin(list(guests)) if guests else F.lit(False)).groupBy("rank").agg(F.min(F.struct("text", "doc_id")).alias("row"))
-    back = F.create_map(*[F.lit(x) for pair in guests.items() for x in pair]) if guests else None
-    if back is None:
-        return own.select("doc_id", "text").mapInArrow(lean(_chain), _SCHEMA)
-    visiting = lead.select("row.doc_id", "row.text", "rank", back[F.col("rank")].alias("part"), F.lit(1).alias("guest"))
+    lead = own.where(F.col("rank").isin([top for _, top in tops])).groupBy("rank").agg(F.min(F.struct("text", "doc_id")).alias("row"), F.min("part").alias("part"))
+    to = F.get(F.from_json(F.lit(json.dumps(host)), "array<int>"), F.col("part"))
+    visiting = lead.select("row.doc_id", "row.text", "rank", to.alias("part"), F.lit(1).alias("guest"))
     dealt = own.union(visiting).repartitionById(p, F.col("part")).sortWithinPartitions("guest", F.desc("rank"), "text")
     return dealt.select("doc_id", "text").mapInArrow(lean(_chain), _SCHEMA)
 
