@@ -225,6 +225,33 @@ def test_tails_are_filled_or_refused(spark):
         guards.padded_tail(df.withColumn("wanted", F.lit(9).cast("long")), "run", "at", "wanted").collect()
 
 
+def test_raw_frames_are_read_in_chunks(spark, tmp_path):
+    from tesserae.sources.frames import decoded
+
+    pixels = [bytes([k] * 12) for k in range(10)]
+    clip = tmp_path / "clip.rgb"
+    clip.write_bytes(b"".join(pixels) + b"cut")
+    read = lambda **more: sorted((r["frame"], bytes(r["pixels"])) for r in decoded(spark, str(clip), 2, 2, chunk_frames=4, **more).collect())
+    assert read() == list(enumerate(pixels)) and read(wanted=3) == list(enumerate(pixels[:3]))
+    assert read(wanted=12) == list(enumerate([*pixels, pixels[-1], pixels[-1]]))
+    assert decoded(spark, str(clip), 2, 2, chunk_frames=4).rdd.getNumPartitions() == 3
+    with pytest.raises(ValueError, match="3 frames missing"):
+        read(wanted=13)
+    (tmp_path / "none.rgb").write_bytes(b"")
+    assert decoded(spark, str(tmp_path / "none.rgb"), 2, 2).count() == 0
+    with pytest.raises(ValueError, match="1 frames missing"):
+        decoded(spark, str(tmp_path / "none.rgb"), 2, 2, wanted=1)
+
+    rows = decoded(spark, str(clip), 2, 2, stream=True, chunk_frames=4)
+    started = lambda: rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(120)
+    assert started()
+    with clip.open("ab") as more:
+        more.write(b"s" * 9 + bytes([11] * 12))
+    assert started()
+    found = sorted((r["frame"], bytes(r["pixels"])) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == list(enumerate([*pixels, b"cut" + b"s" * 9, bytes([11] * 12)]))
+
+
 def test_options_are_refused():
     assert guards.resolve_hold(3, 24.0) == 3 and guards.resolve_duration(2.0, None, 5.0) == 3.0
     for wrong in (lambda: guards.resolve_hold(0, 24.0), lambda: guards.resolve_hold(2, 24.0), lambda: guards.resolve_duration(6.0, None, 5.0), lambda: guards.resolve_duration(0.0, -1.0, 5.0)):
