@@ -10,7 +10,7 @@ document that has an id goes, and of those linked only among themselves one stay
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import dropped, stored, table
@@ -38,10 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = ngram_jaccard(named.select(F.col("key").alias("doc_id"), "text"), width=5, num=80, den=100)
     rows = found.groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("times"), F.bool_and(F.col("component_id") != F.col("doc_id")).alias("linked"))
     marks = rows.where("linked or times > 1").select("key", "linked").hint("shuffle_hash")
-    marked = named.join(marks, "key", "left")
-    first = F.min(F.struct("text", *(c for c in COLUMNS if c != "text"))).alias("row")
-    repeated = marked.where("not linked").groupBy("key").agg(first).select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
-    return marked.where("linked is null").select(*COLUMNS).union(repeated)
+    # Keys without a mark stand once, so one window over the joined rows decides all, and texts move once.
+    left = named.join(marks, "key", "left").where("linked is null or not linked")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("text", *(c for c in COLUMNS if c != "text")))
+    return left.withColumn("place", first).where("place = 1").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

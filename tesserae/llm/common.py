@@ -73,10 +73,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: While it is set, Spark (4.1 on) deletes an action's shuffle files when the action ends, not once the driver collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the reliable checkpoint folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept in the reliable checkpoint folder that all executors share; the shuffle files behind it go."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # select: planned while the setting holds
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
 
 
 def stored(df: DataFrame) -> DataFrame:

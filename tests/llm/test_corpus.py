@@ -4,11 +4,13 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import byte_bpe, exact_topk, html_crf, license_scan, lz_fingerprint, ngram_jaccard, packing, quality_fm, substring_dedup, suffix_dedup
 from tesserae.llm.queries import tokenizer_path
@@ -704,6 +706,31 @@ def test_pipeline_leaves_one_table(spark, tmp_path):
     assert not os.path.exists(folder)
 
 
+def test_pipeline_moves_texts_once(spark, docs):
+    import corpus_pipeline
+
+    plan = corpus_pipeline.near_duplicates(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key#") == 1
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    from tesserae.llm.common import SHUFFLES_GO, saved
+
+    def files():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return set(re.findall(r"shuffle_\d+_\d+_\d+", blocks.mkString(" ")))
+
+    spark.conf.set(SHUFFLES_GO, "false")
+    before = files()
+    kept = saved(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 5
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(SHUFFLES_GO) == "false"
+    assert sorted(map(tuple, kept.collect())) == [(k, 143 - (k > 5)) for k in range(7)]
+
+
 def test_ngram_jaccard_links_through_texts_without_ids(spark):
     words = [f"w{i}" for i in range(100)]
     # Neighbours share 56 of 68 pairs or more; the outer two only 48 of 75.
